@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calstack.llm import decontaminate, simhash, substrings
+from calstack.llm.common import new_path
+from calstack.llm import decontaminate, language, pieces, pseudonyms, simhash, substrings, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    records = warc.read(spark, path, payloads=False).where("gap IS NULL")
+    number = {c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS BIGINT)") for c in ("record_id", "refers_to")}
+    return records.select(number["record_id"].alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number["refers_to"].alias("refers_to"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -36,14 +45,53 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+#: Key of the pseudonyms in the registered query; a deployment passes its own.
+PSEUDONYM_KEY = "registered query"
+
+
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    counts = [pseudonyms.count(name).alias(f"n_{name}") for name, *_ in pseudonyms.FORMATS]
+    return made.select("doc_id", F.col("__text").alias("text"), F.size("__kinds").cast("long").alias("n_found"), *counts)
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pieces.round_trip(table(spark, sf_dir, "documents"))
+    return made.select(F.col("id").alias("doc_id"), "n_pieces", "pieces_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "lossless")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
+    "op7_pseudonyms": op7_pseudonyms,
+    "op8_topk": op8_topk,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_language": op10_language,
 }
 
 SQL: dict[str, str] = {}
 
+SQL["op1_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha1(t) AS h FROM p),
+g AS (SELECT h, max(page_id) AS keep FROM d GROUP BY h)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((('0x' || substr(d.h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM d JOIN g ON g.h = d.h
+"""
+
 SQL["op3_decontamination"] = r"""
 WITH w AS (
   SELECT 'd' AS t, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
@@ -67,6 +115,18 @@ SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit,
 FROM w LEFT JOIN hits ON hits.doc_id = w.id LEFT JOIN its ON its.doc_id = w.id WHERE t = 'd'
 """
 
+SQL["op8_topk"] = r"""
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(a.q, b.q)]) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
 SQL["op4_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
