@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calstack.llm.common import small_batches
+from calstack.llm.common import small_batches, stored
 
 #: Payload bytes after which a writer starts another file.
 FILE_BYTES = 32 << 20
@@ -167,6 +167,7 @@ def with_decisions(pages: DataFrame, id_col: str, payload_col: str, url_col: str
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
     names = rows.where(F.col("id").isNotNull() & (F.col("size") >= least_bytes)).select("sha1", "id")
     groups = names.groupBy("sha1").agg(F.max("id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("sha1", "keep")
+    groups = stored(groups, "payloads")  # so that the join's own exchange can split a hot payload
     joined = rows.join(groups, "sha1", "left")
     other = F.col("id").isNotNull() & (F.col("keep") != F.col("id")) & (F.col("size") >= least_bytes)
     return joined.withColumn("keep", F.when(other, F.col("keep"))).withColumn("payload", F.when(~F.coalesce(other, F.lit(False)), F.col("payload")))
