@@ -52,6 +52,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row(df: DataFrame, name: str) -> DataFrame:
     """Adds a row number that is unique and the same each time a stored table is
     read, whatever ids the rows carry."""

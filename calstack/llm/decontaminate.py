@@ -130,7 +130,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     positions of the words inside an occurrence of a window, and the ids, as
     strings in order, of the items whose windows occur."""
     small_batches(docs.sparkSession)
-    now = with_row(docs, "__row").select(F.col("__row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    now = with_row(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "row").select("row", "id", F.col("text").cast("string").alias("text"))
     earlier, kept = False, None
     for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
         if earlier and block:

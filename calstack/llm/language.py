@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from calstack.llm.common import small_batches
+from calstack.llm.common import fresh, small_batches
 
 UNDETERMINED = "und"
 BITS = 13
@@ -144,8 +144,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     langs = max(1, keys.select("lang").distinct().count())
     each = max(LEAST_ROWS, sample_rows // langs)
     ranked = keys.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= each)
-    chosen = ranked.select(F.col("id").alias("__id"), F.col("lang").alias("__lang")).distinct()
-    rows = labelled.join(F.broadcast(chosen), (F.col(id_col) == F.col("__id")) & (F.col(lang_col).cast("string") == F.col("__lang"))).select(F.col("__id").cast("string").alias("id"), F.col("__lang").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    chosen = ranked.select("id", "lang").distinct()
+    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(chosen), ["id", "lang"]).select(F.col("id").cast("string").alias("id"), "lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,18 +159,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` with __lang and __score added, in one pass over whole texts."""
+    """`docs` with the language and the score as its two last columns (__lang and
+    __score, if free), in one pass over whole texts."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
-    names = [*docs.columns, "__lang", "__score"]
+    own = [fresh(docs, "__lang"), fresh(docs, "__score")]
+    names = [*docs.columns, *own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [shared.value.predict(t.as_py()) for t in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m for m, _ in made], pa.string()), pa.array([s for _, s in made], pa.float64())], names)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(own[0], T.StringType()), T.StructField(own[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

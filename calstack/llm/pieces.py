@@ -274,10 +274,10 @@ def load(model_path: str, theta: float = THETA) -> Codec:
         return Codec(f.read(64 << 20), theta)
 
 
-def seeded(docs: DataFrame, id_col: str, text_col: str, seed: int, *more: str) -> DataFrame:
+def seeded(docs: DataFrame, id_col: str, text_col: str, seed: int, key_col: str | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
-    key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), key.alias("key"), *more)
+    key = F.xxhash64(F.lit(seed), F.col(key_col or id_col).cast("string"))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, theta: float = THETA, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,12 +307,12 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     return encoded.select("id", "pieces").mapInArrow(run, f"id {encoded.schema['id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, model_path: str = MODEL, theta: float = THETA, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str = MODEL, theta: float = THETA, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None, ids: bool = False) -> DataFrame:
     """(id, n_pieces, pieces_sha256, decoded, lossless), with `ids` also pieces:
     each text encoded and decoded again in one pass; the digest is over the ids as
-    little-endian 32-bit numbers."""
+    little-endian 32-bit numbers. `key_col` seeds the draws if it is not the id."""
     codec = docs.sparkSession.sparkContext.broadcast(load(model_path, theta))
-    rows = seeded(docs, id_col, text_col, seed)
+    rows = seeded(docs, id_col, text_col, seed, key_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calstack.llm.common import fresh
+
 ROUNDS = 12
 #: Days from 1900-01-01 to 2099-12-31, as a product.
 DAYS_LEFT, DAYS_RIGHT = 17, 4297
@@ -182,15 +184,16 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", into: str =
     """`docs` with two columns more: the text with its pseudonyms, and the formats
     found, one for each value replaced."""
     own = F.col(text_col).cast("string")
-    found = F.regexp_extract_all(own, F.lit(pattern()), F.lit(0))
-    some = docs.withColumn("__found", F.when(own.rlike("[0-9@]"), found).otherwise(F.array().cast("array<string>")))
-    valued = some.withColumn("__values", F.expr(f"transform(__found, m -> named_struct('m', m, 'kind', {kind()}))"))
-    new = F.expr(f"transform(__values, v -> {let('v.m', 'm', let('v.kind', 'kind', pseudonym(key)))})")
+    found, values = fresh(docs, "__found"), fresh(docs, "__values")
+    candidates = F.regexp_extract_all(own, F.lit(pattern()), F.lit(0))
+    some = docs.withColumn(found, F.when(own.rlike("[0-9@]"), candidates).otherwise(F.array().cast("array<string>")))
+    valued = some.withColumn(values, F.expr(f"transform({found}, m -> named_struct('m', m, 'kind', {kind()}))"))
+    new = F.expr(f"transform({values}, v -> {let('v.m', 'm', let('v.kind', 'kind', pseudonym(key)))})")
     parts = F.split(own, pattern(), -1)
     joined = F.array_join(F.flatten(F.zip_with(parts, F.concat(new, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    changed = F.expr("exists(__values, v -> v.kind IS NOT NULL)")
+    changed = F.expr(f"exists({values}, v -> v.kind IS NOT NULL)")
     out = valued.withColumn(into, F.when(changed, joined).otherwise(own))
-    return out.withColumn(kinds, F.expr("transform(filter(__values, v -> v.kind IS NOT NULL), v -> v.kind)")).drop("__found", "__values")
+    return out.withColumn(kinds, F.expr(f"transform(filter({values}, v -> v.kind IS NOT NULL), v -> v.kind)")).drop(found, values)
 
 
 def count(name: str, kinds: str = "__kinds") -> Column:

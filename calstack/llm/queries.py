@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calstack.llm.common import new_path
-from calstack.llm import decontaminate, language, pieces, pseudonyms, simhash, substrings, topk, warc
+from calstack.llm import decontaminate, language, markup, packing, pieces, pseudonyms, simhash, substrings, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(number["record_id"].alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number["refers_to"].alias("refers_to"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.rendered(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -49,6 +53,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 PSEUDONYM_KEY = "registered query"
 
 
+def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.write(table(spark, sf_dir, "documents"), new_path(spark, "packed"))
+
+
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pseudonyms.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
     counts = [pseudonyms.count(name).alias(f"n_{name}") for name, *_ in pseudonyms.FORMATS]
@@ -70,9 +78,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_html_text": op2_html_text,
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
+    "op6_token_packing": op6_token_packing,
     "op7_pseudonyms": op7_pseudonyms,
     "op8_topk": op8_topk,
     "op9_sentencepiece": op9_sentencepiece,

@@ -166,7 +166,7 @@ def duplicate_passages(docs: DataFrame, window: int = 35, anchor: int = 8, id_co
     if window - anchor + 1 >= PACK or anchor < 1 or anchor > window:
         raise ValueError("anchor must leave 1 to 63 sequences in a window")
     small_batches(docs.sparkSession)
-    rows = with_row(docs, "__row").select(F.col("__row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = with_row(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "row").select("row", "id", "text")
     kind = rows.schema["id"].dataType.simpleString()
     pieces = reference(rows, window, anchor)
     twice = pieces.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
