@@ -51,7 +51,8 @@ ENDS = {
 #: Elements that an end tag of something outside them does not reach across.
 WALLS = {"td", "th", "table", "caption", "body", "html"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
+#: Comments, declarations, and tags: quoted values whole if the quotes are paired, else up to the next ">".
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</?([a-zA-Z][^\s/>]*+)(?:((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^>]*+)>)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -77,9 +78,9 @@ def attributes(source: str) -> dict[str, str]:
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes) with kind text, raw, start, empty or end."""
-    at = 0
+    at, last = 0, page.rfind(">")
     while True:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else None
         text = page[at : m.start() if m else len(page)]
         if text:
             yield "text", text, ""
@@ -92,7 +93,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if m[0][1] == "/":
             yield "end", name, ""
             continue
-        yield ("empty" if m[3] and name not in RAW else "start"), name, m[2]
+        source = m[2] if m[2] is not None else m[3]
+        yield ("empty" if source.endswith("/") and name in ("svg", "math") else "start"), name, source.removesuffix("/")
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             yield "raw", page[at : close.start() if close else len(page)], ""
