@@ -169,16 +169,17 @@ def duplicate_passages(docs: DataFrame, window: int = 35, anchor: int = 8, id_co
     rows = with_row(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "row").select("row", "id", "text")
     kind = rows.schema["id"].dataType.simpleString()
     pieces = reference(rows, window, anchor)
-    twice = pieces.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # stored, so that the join has exchanges of its own and a hot anchor can be split
+    twice = stored(pieces.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors")
     known = stored(pieces.join(twice, "a"), "phrases")
     distinct = stored(known.groupBy("a", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("first")), "distinct")
     factors = known.join(distinct.where("n > 1").select("a", "phrase"), ["a", "phrase"]).selectExpr("row", "at * 4 AS at")
-    several = distinct.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a")
+    several = stored(distinct.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a"), "several")
     ends = distinct.join(several, "a").selectExpr("first.row AS row", "first.at * 4 + if(n > 1, 1, 2) AS at")
     per_doc = factors.union(ends).groupBy("row").agg(F.collect_list("at").alias("factors"))
     parsed = stored(parse(rows.join(per_doc, "row", "left"), kind, window), "parsed")
     windows = parsed.select("row", F.explode("windows").alias("w")).select("row", "w.*")
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    again = stored(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "windows")
     hits = windows.where("at >= 0").join(again, ["w1", "w2"]).groupBy("row").agg(F.collect_list("at").alias("hits"))
     waiting = parsed.where("text IS NOT NULL").select("row", "id", "n_words", "text", "known").join(hits, "row", "left")
     done = parsed.where("text IS NULL").select("row", "id", "n_words", "n_removed", "kept_sha256", "spans")
