@@ -1,0 +1 @@
+"""Calendars, and helpers beside the words."""

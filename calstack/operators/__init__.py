@@ -1,0 +1 @@
+"""Column kernels: elementwise, row-wise, window and resampling expressions."""

@@ -1,0 +1 @@
+"""Programs of words, their stack, and its compilation to one DataFrame."""

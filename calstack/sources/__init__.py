@@ -1,0 +1 @@
+"""Where series come from and where they are kept."""
