@@ -31,7 +31,7 @@ UNDETERMINED = "und"
 BITS = 13
 #: Bounds of the sample that the models are fitted on: rows of all languages
 #: together, and at least so many of each.
-SAMPLE_ROWS, LEAST_ROWS = 2400, 24
+SAMPLE_ROWS, LEAST_ROWS = 1600, 24
 #: Language codes of the families told apart first.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -71,16 +71,15 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def machine(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 120) -> np.ndarray:
     """A linear support vector machine (squared hinge, labels 1 and -1, classes
-    weighed equally) by accelerated gradient steps; the last weight is the bias."""
-    n, d = x.shape
-    x1 = np.hstack([x, np.ones((n, 1), x.dtype)])
+    weighed equally) by accelerated gradient steps; the last column of x is 1, and
+    the last weight the bias."""
     weigh = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype) * cost
-    step = 1.0 / (1.0 + 2.0 * cost * 2.0)
-    w = z = np.zeros(d + 1, x.dtype)
+    step = x.dtype.type(1.0 / (1.0 + 2.0 * cost * 2.0))
+    w = z = np.zeros(x.shape[1], x.dtype)
     for t in range(rounds):
-        slack = np.maximum(0, 1 - y * (x1 @ z))
-        new = z - step * (z - 2 * ((weigh * y * slack) @ x1))
-        w, z = new, new + (t / (t + 3)) * (new - w)
+        slack = np.maximum(0, 1 - y * (x @ z))
+        new = z - step * (z - 2 * ((weigh * y * slack) @ x))
+        w, z = new, new + x.dtype.type(t / (t + 3)) * (new - w)
     return w
 
 
@@ -113,14 +112,21 @@ class Votes:
 
 
 class Model:
-    def __init__(self, labels: list[str], vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        x = np.zeros((len(labels), 1 << BITS), np.float32)
-        for row, (at, value) in zip(x, vectors, strict=True):
-            row[at] = value
+    """The machines of the families and of the languages within each, fitted on rows
+    that are given as one sparse matrix (`at` and `value` cut by `offsets`)."""
+
+    def __init__(self, labels: list[str], offsets: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
+        x = np.zeros((len(labels), (1 << BITS) + 1), np.float32)
+        x[np.repeat(np.arange(len(labels)), np.diff(offsets)), at] = value
+        x[:, -1] = 1
         names = np.array(labels, object)
         families = np.array([family(n) for n in labels], object)
         self.families = Votes(sorted(set(families.tolist())), x, families) if labels else None
-        self.within = {f: Votes(sorted(set(names[families == f].tolist())), x[families == f], names[families == f]) for f in sorted(set(families.tolist()))}
+        self.within = {}
+        for f in sorted(set(families.tolist())):
+            own = families == f
+            classes = sorted(set(names[own].tolist()))
+            self.within[f] = Votes(classes, x[own] if len(classes) > 1 else x[:0], names[own])
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or self.families is None or not LETTER.search(text):
@@ -141,21 +147,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     small_batches(docs.sparkSession)
     labelled = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     keys = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    langs = max(1, keys.select("lang").distinct().count())
-    each = max(LEAST_ROWS, sample_rows // langs)
-    ranked = keys.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= each)
+    counts = keys.groupBy("lang").count().collect()
+    each = max(LEAST_ROWS, sample_rows // max(1, len(counts)))
+    # keys are hashed evenly: so small a hash leaves about twice the rows wanted, wherever they are
+    limits = [(r["lang"], int(-(2**63) + min(1.0, 2 * each / r["count"]) * (2**64 - 2048))) for r in counts]
+    few = keys.join(F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, most long")), "lang").where("h <= most")
+    ranked = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= each)
     chosen = ranked.select("id", "lang").distinct()
     texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), ["id", "lang"]).select(F.col("id").cast("string").alias("id"), "lang", "text")
+    rows = texts.join(F.broadcast(chosen), ["id", "lang"]).select(F.col("id").cast("string").alias("id"), "lang", "text", F.xxhash64("text").alias("h"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [features(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in made], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in made], pa.list_(pa.float32()))], ["id", "lang", "at", "value"])
-
-    sample = rows.mapInArrow(vectors, "id string, lang string, at array<int>, value array<float>").toArrow().to_pylist()
-    sample.sort(key=lambda r: (r["lang"], r["id"], r["at"], r["value"]))
-    return Model([r["lang"] for r in sample], [(np.array(r["at"], np.int64), np.array(r["value"])) for r in sample])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([a for a, _ in made], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in made], pa.list_(pa.float32()))], ["id", "lang", "h", "at", "value"])
+
+    found = rows.mapInArrow(vectors, "id string, lang string, h long, at array<int>, value array<float>").toArrow()
+    sample = found.sort_by([("lang", "ascending"), ("id", "ascending"), ("h", "ascending")]).combine_chunks()
+    if not sample.num_rows:
+        return Model([], np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    at, value = sample.column("at").combine_chunks(), sample.column("value").combine_chunks()
+    return Model(sample.column("lang").to_pylist(), at.offsets.to_numpy(), at.flatten().to_numpy(), value.flatten().to_numpy())
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
