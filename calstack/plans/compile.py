@@ -22,7 +22,7 @@ from calstack.operators.resample import resampled
 from calstack.plans.program import Input, Node, Slot
 
 #: Kinds of nodes whose value in a row follows from their inputs in that row alone.
-ROWWISE = {"constant", "calendar", "source", "function", "reduction", "fill", "rank", "sync", "random"}
+ROWWISE = {"apply", "constant", "calendar", "source", "function", "reduction", "fill", "rank", "sync", "random"}
 
 
 @dataclass
@@ -137,6 +137,10 @@ class Frame:
         (x,) = self.inputs(node, start, stop)
         return self.add(key, [x], lambda: elementwise.valid(elementwise.FUNCTIONS[node.params["name"]][1](x.column)))
 
+    def _apply(self, key: Any, node: Node, start: int, stop: int) -> Item:
+        (x,) = self.inputs(node, start, stop)
+        return self.add(key, [x], lambda: elementwise.valid(node.params["function"](x.column).cast("double")))
+
     def _fill(self, key: Any, node: Node, start: int, stop: int) -> Item:
         (x,) = self.inputs(node, start, stop)
         return self.add(key, [x], lambda: F.coalesce(x.column, elementwise.number(node.params["value"])))

@@ -236,6 +236,21 @@ class Program:
         """Headers, without evaluating."""
         return [s.header for s in self.stack]
 
+    def describe(self) -> str:
+        """The stack as a tree: headers, nodes, what they are computed from, and how
+        many columns share a node's group."""
+        lines: list[str] = []
+
+        def tell(node: Node, depth: int, label: str) -> None:
+            own = {k: v for k, v in node.params.items() if k not in ("source", "rowwise")}
+            lines.append("  " * depth + f"{label}{node.kind}{own or ''} (group of {len(node.group.members)})")
+            for i in node.inputs:
+                tell(i.node, depth + 1, f"{i.resampler}: " if i.resampler != "last" else "")
+
+        for slot in self.stack:
+            tell(slot.node, 0, f"{slot.header}: ")
+        return "\n".join(lines)
+
     @property
     def rows(self) -> Rows:
         """rows[start:stop:periodicity] as a Spark DataFrame with a date column."""

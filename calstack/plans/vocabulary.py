@@ -342,6 +342,8 @@ for _name, (_doc, _) in FUNCTIONS.items():
         add(_name, "functions", _doc, TOP, lambda stack, call, name=_name: derive(stack, "function", name=name))
 add("rank", "functions", "Place of each value in its row, from 0, missing last", ALL, lambda stack, call: derive(stack, "rank", fixed=True))
 
+add("apply", "functions", "A function of a Spark column, given as a Python callable", TOP, lambda stack, call, function: derive(stack, "apply", function=function))
+
 # Windows
 
 for _name, (_doc, _) in ROLLING.items():
