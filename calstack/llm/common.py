@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 
 _OWN_FOLDER: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,8 +51,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once, which may not have it on their path."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root, packed = Path(__file__).resolve().parent.parent, io.BytesIO()
+    if not root.is_dir():  # it came in such an archive itself
+        return
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    at = Path(tempfile.mkdtemp(prefix="calstack-code-")) / f"{root.name}.zip"
+    at.write_bytes(packed.getvalue())
+    context.addPyFile(str(at))
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds what one Arrow batch of texts holds, in the JVM and in Python."""
+    """Bounds what one Arrow batch of texts holds, in the JVM and in Python; called
+    before any Python runs on the executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
