@@ -33,7 +33,7 @@ FORMATS = [
     ("ssn", r"\d{3}-\d{2}-\d{4}", r"(?<![\w+.-])", r"(?![\w-])"),
     ("ip", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", r"(?<![\w.+-])", r"(?![\w-]|\.\d)"),
     ("date", r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}", r"(?<![\w/.+-])", r"(?![\w/-]|\.\d)"),
-    ("secret", r"AKIA[0-9A-Z]{16}|password=[0-9a-f]{8,64}", r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"),
+    ("secret", r"AKIA[0-9A-Z]{16}|(?:password|passwd|token|secret|api_?key) ?[=:] ?[\"']?[0-9a-f]{8,64}", r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"),
 ]
 
 
@@ -157,8 +157,9 @@ def email(key: str) -> str:
 
 def secret(key: str) -> str:
     access = let("lower(substr(m, 5))", "e", f"concat('AKIA', upper({spelled('e', 36, 'key', key)}))")
-    password = let("substr(m, 10)", "e", f"concat('password=', {spelled('e', 16, 'password', key)})")
-    return f"if(m LIKE 'AKIA%', {access}, {password})"
+    parts = [f"regexp_extract(m, '^(.*?)([0-9a-f]{{8,64}})$', {k})" for k in (1, 2)]
+    assigned = let(parts[1], "e", f"concat({parts[0]}, {spelled('e', 16, 'password', key)})")
+    return f"if(m LIKE 'AKIA%', {access}, {assigned})"
 
 
 def kind() -> str:
