@@ -129,7 +129,7 @@ class Model:
             self.within[f] = Votes(classes, x[own] if len(classes) > 1 else x[:0], names[own])
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or self.families is None or not LETTER.search(text):
+        if not text or self.families is None or not any(m[0].isalpha() for m in LETTER.finditer(text)):
             return UNDETERMINED, 0.0
         vector = features(text)
         name, sure = self.families.decide(*vector)
@@ -162,7 +162,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             made = [features(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([a for a, _ in made], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in made], pa.list_(pa.float32()))], ["id", "lang", "h", "at", "value"])
 
-    found = rows.mapInArrow(vectors, "id string, lang string, h long, at array<int>, value array<float>").toArrow()
+    few_tasks = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    found = few_tasks.mapInArrow(vectors, "id string, lang string, h long, at array<int>, value array<float>").toArrow()
     sample = found.sort_by([("lang", "ascending"), ("id", "ascending"), ("h", "ascending")]).combine_chunks()
     if not sample.num_rows:
         return Model([], np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0))
