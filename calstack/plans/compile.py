@@ -377,6 +377,10 @@ def evaluate(stack: list[Slot], wanted: Range, keys: tuple[str, ...] = ()) -> Da
     """The columns of a stack over a range: keys, date, and a column for each header,
     in order of date."""
     spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    if keys:
+        # slots are dealt by key alone, which serves the joins on (key, slot) and the
+        # windows after them without another exchange; a key has few slots
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     frame, names = compiled(spark, [s.input for s in stack], wanted, tuple(keys))
     date = wanted.periodicity.end_column(F.col("ordinal")).alias("date")
     made = frame.select(*keys, date, *(F.col(n).alias(h) for n, h in zip(names, headed(stack, (*keys, "date")), strict=True)))

@@ -274,9 +274,17 @@ class Store:
         here = self.at(frame, version)
         self.remove(here)
         old = {(m.col, m.row): m for m in self.get_metadata(frame)}
-        # of two rows for a slot, the later one
-        long = long.withColumn("_r", F.row_number().over(Window.partitionBy("col", "row", "ordinal").orderBy(F.desc("_o")))).where("_r = 1")
-        found = long.groupBy("col", "row").agg(F.min("col_no").alias("col_no"), F.min("_o").alias("_o"), F.max("type").alias("type"), F.min(F.when(F.col("value").isNotNull(), F.col("ordinal"))).alias("start"), F.max(F.when(F.col("value").isNotNull(), F.col("ordinal"))).alias("last"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high")).collect()
+        # of two rows for a slot, the later one; read for the catalog and for the write
+        long = long.withColumn("_r", F.row_number().over(Window.partitionBy("col", "row", "ordinal").orderBy(F.desc("_o")))).where("_r = 1").persist()
+        try:
+            self.put(frame, long, calendar, versions, old, here)
+        finally:
+            long.unpersist()
+
+    def put(self, frame: str, long: DataFrame, calendar: Periodicity, versions: list[int], old: dict[tuple[str, str], Metadata], here: str) -> None:
+        """Checks the new series against the catalog, then writes the next version."""
+        filled = F.when(F.col("value").isNotNull(), F.col("ordinal"))
+        found = long.groupBy("col", "row").agg(F.min("col_no").alias("col_no"), F.min("_o").alias("_o"), F.max("type").alias("type"), F.min(filled).alias("start"), F.max(filled).alias("last"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high")).collect()
         kept = {(r["col"], r["row"]): r for r in found if r["start"] is not None}
         if not kept:
             return
