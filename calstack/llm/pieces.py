@@ -38,6 +38,7 @@ CHUNK, LONGEST = 1 << 19, 40
 
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
+SHIFT, GROW = U(44), 0xD1342543DE82EF95
 
 
 class Codec:
@@ -79,42 +80,39 @@ class Codec:
         return kinds, joins
 
     def tables(self, pieces: dict[str, int]) -> None:
-        """Pieces by the hash of their characters: a table of slots, and a second one
-        for those whose slot was taken."""
+        """Pieces by the hash of their characters: a table of slots, and a short sorted
+        list for those whose slot was taken."""
         keys = np.array([self.key(p) for p in pieces], np.uint64)
         ids = np.array(list(pieces.values()), np.int32)
-        self.slots = []
-        for bits in (20, 17, 17, 17):
-            slot = (keys >> U(64 - bits)).astype(np.int64)
-            _, first = np.unique(slot, return_index=True)
-            held, names = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-            held[slot[first]], names[slot[first]] = keys[first], ids[first]
-            self.slots.append((U(64 - bits), held, names))
-            rest = np.ones(len(keys), bool)
-            rest[first] = False
-            keys, ids = keys[rest] * STEP, ids[rest]
-            if not len(keys):
-                return
-        raise ValueError("the pieces do not fit the tables")
+        slot = (keys * STEP >> SHIFT).astype(np.int64)
+        _, first = np.unique(slot, return_index=True)
+        self.held, self.names = np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)
+        self.held[slot[first]], self.names[slot[first]] = keys[first], ids[first]
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        rest = rest[np.argsort(keys[rest])]
+        self.more, self.more_names = np.append(keys[rest], ~U(0)), np.append(ids[rest], np.int32(-1))
+        self.shared = np.zeros(1 << 20, bool)
+        self.shared[slot[rest]] = True
 
     @staticmethod
-    def extend(h: np.ndarray, characters: np.ndarray) -> np.ndarray:
-        return h * U(0xD1342543DE82EF95) + mix(characters.astype(np.uint64) + STEP)
+    def values(characters: np.ndarray) -> np.ndarray:
+        return mix(characters.astype(np.uint64) + STEP)
 
     def key(self, piece: str) -> int:
-        h = np.zeros(1, np.uint64)
-        for c in piece:
-            h = self.extend(h, np.array([ord(c)]))
-        return int(mix(h)[0])
+        h = 0
+        for v in self.values(np.array([ord(c) for c in piece])).tolist():
+            h = (h * GROW + v) % (1 << 64)
+        return h
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Piece ids of hashed characters, -1 where there is none."""
-        key, found = mix(h), None
-        for shift, held, names in self.slots:
-            slot = (key >> shift).astype(np.int64)
-            here = np.where(held[slot] == key, names[slot], -1)
-            found = here if found is None else np.maximum(found, here)
-            key = key * STEP
+        slot = (h * STEP >> SHIFT).astype(np.int64)
+        own = self.held[slot] == h
+        found = np.where(own, self.names[slot], np.int32(-1))
+        other = np.flatnonzero(self.shared[slot] & ~own)
+        if len(other):
+            at = np.searchsorted(self.more, h[other])
+            found[other] = np.where(self.more[at] == h[other], self.more_names[at], -1)
         return found
 
     def lattice(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,10 +121,12 @@ class Codec:
         n, length = chars.shape
         most = min(self.reach, length)
         ids = np.full((length + 1, most, n), -1, np.int32)
+        value = np.ascontiguousarray(self.values(chars).T)
         for i in range(length):
-            h = np.zeros(n, np.uint64)
-            for m in range(1, min(most, length - i) + 1):
-                h = self.extend(h, chars[:, i + m - 1])
+            h = value[i]
+            ids[i + 1, 0] = self.lookup(h)
+            for m in range(2, min(most, length - i) + 1):
+                h = h * U(GROW) + value[i + m - 1]
                 ids[i + m, m - 1] = self.lookup(h)
         single = ids[np.arange(1, length + 1), 0]
         spelled = np.where(chars.T == LITERAL, SPACE, chars.T) + SPELLED
@@ -151,9 +151,10 @@ class Codec:
         """(start, id) of a sampled path through one segment of any length."""
         n, forward, arcs = len(chars), [0.0], [[]]
         by_start = np.full((self.reach, n), -1, np.int32)
+        value = self.values(chars)
         h = np.zeros(n, np.uint64)
         for m in range(1, min(self.reach, n) + 1):
-            h = self.extend(h[: n - m + 1], chars[m - 1 :])
+            h = h[: n - m + 1] * U(GROW) + value[m - 1 :]
             by_start[m - 1, : n - m + 1] = self.lookup(h)
         for j in range(1, n + 1):
             ways = []
