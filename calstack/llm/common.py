@@ -6,6 +6,7 @@ import gc
 import io
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -17,6 +18,8 @@ BATCH_ROWS = 256
 
 _OWN_FOLDER: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_WRITTEN: list[str] = []
+_PATHS: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,17 +35,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def clean_up(spark: SparkSession) -> None:
+    """Removes what this session's operators have written into the shared folder.
+    Call it when their results have been written elsewhere: they read these tables."""
+    while _WRITTEN:
+        remove(spark, _WRITTEN.pop())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """`df` written as Parquet into the shared folder and read again: what was
-    computed survives lost executors, and the lineage ends here."""
+    computed survives lost executors, and the lineage ends here. A table that it was
+    computed from and that nothing else reads can be given up for it."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(made)] = path
+    weakref.finalize(made, _PATHS.pop, id(made), None)
+    if instead_of is not None:
+        remove(spark, _PATHS[id(instead_of)])
+    return made
 
 
 def release(spark: SparkSession) -> None:

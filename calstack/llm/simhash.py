@@ -28,8 +28,9 @@ from calstack.llm.common import small_batches, stored
 
 SEED = 42
 MASKS = 3
-#: Distinct fingerprints that a shard is meant to hold; the number of cuts follows.
-SHARD_ROWS = 20_000
+#: Distinct fingerprints that a shard is meant to hold: few, for as many shards as
+#: there are shuffle partitions, and otherwise at most so many.
+FEW_ROWS, SHARD_ROWS = 20_000, 1_000_000
 LEAF = 48
 
 
@@ -195,7 +196,9 @@ def shard_links(fps: np.ndarray, mask: int, distance: int) -> list[tuple[int, in
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints (column fp) of each
     component of "at most `distance` differing bits"."""
-    cuts = max(0, math.ceil(math.log2(max(1, fps.count()) / SHARD_ROWS)))
+    count, partitions = max(1, fps.count()), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(count / SHARD_ROWS, min(count / FEW_ROWS, partitions / MASKS))
+    cuts = max(0, math.ceil(math.log2(shards)))
     all_masks = masks()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +230,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.selectExpr("b AS a", "m AS b").union(joined.selectExpr("a", "m AS b"))
-        now = stored(small.where("a <> b").distinct(), "edges")
+        now = stored(small.where("a <> b").distinct(), "edges", now)
         seen = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if seen == state:
             break
