@@ -254,6 +254,17 @@ class Range:
         day = _day(self.periodicity.end(self.start - 1)) + 1
         return _date(day + (2 if _date(day).weekday() == 5 else 1 if _date(day).weekday() == 6 else 0)) if self.periodicity.code != "B" else self.periodicity.end(self.start)
 
+    def matches(self, other: Range, round_: bool = False) -> list[tuple[int, int]]:
+        """(position in `other`, position here) of slots that end on the same day, or
+        (round_) of each of `other`'s slots and the one here that its end falls in."""
+        found = []
+        for i, period in enumerate(other):
+            end = period[-1]
+            at = self.periodicity.ordinal(end)
+            if self.start <= at < self.stop and (round_ or self.periodicity.end(at) == end):
+                found.append((i, at - self.start))
+        return found
+
     def dates(self) -> list[datetime.date]:
         return [self.periodicity.end(i) for i in range(self.start, self.stop)]
 

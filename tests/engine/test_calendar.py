@@ -60,6 +60,10 @@ def test_ranges():
     january = CALENDARS["M"][0:1].change_periodicity("B")
     assert (january.start, january.stop) == (0, 22)
     assert CALENDARS["B"][0:22].change_periodicity("M") == CALENDARS["M"][0:1]
+    days, months = CALENDARS["B"][0:42], CALENDARS["M"][0:3]
+    assert days.matches(months) == [(0, 21), (1, 41)]
+    assert months.matches(days) == [(21, 0), (41, 1)]
+    assert months.matches(days, round_=True) == [(i, i // 22) for i in range(42)]
 
 
 def test_now_is_what_it_is_set_to():
