@@ -2,8 +2,11 @@ import os
 import sys
 from pathlib import Path
 
+import hypothesis
 import pytest
 
+hypothesis.settings.register_profile("fixed", derandomize=True, deadline=None)
+hypothesis.settings.load_profile("fixed")
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
 

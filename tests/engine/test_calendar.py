@@ -23,9 +23,10 @@ def test_a_slot_ends_on_a_weekday_that_is_in_it(date, code):
         assert p.end(o - 1) < date <= p.end(o) or (code == "B" and date.weekday() > 4)
 
 
-@given(st.integers(-5000, 5000), CODES)
-def test_days_of_neighbouring_slots_meet(ordinal, code):
-    a, b = CALENDARS[code][0] + ordinal, CALENDARS[code][0] + ordinal + 1
+@given(DATES, CODES)
+def test_days_of_neighbouring_slots_meet(date, code):
+    a = CALENDARS[code][date]
+    b = a + 1
     assert a[-1] + datetime.timedelta(days=1) == b[0]
     assert len(a) == (a[-1] - a[0]).days + 1
 
