@@ -22,7 +22,7 @@ import gzip
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -38,6 +38,9 @@ FILE_BYTES = 32 << 20
 RECORD_BYTES = 1 << 30
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
+MARK = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+#: Archives larger than this are read bit by bit by their task instead of as one value.
+LARGE_BYTES, READ_BYTES = 256 << 20, 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -82,23 +85,58 @@ def record(kind: str, record_id: str, target: str, date: str, payload: bytes, si
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def inflate(data: memoryview, at: int) -> tuple[bytes, int]:
+class Source:
+    """Bytes of an archive, read as they are needed: `fetch` gives (start, length)."""
+
+    def __init__(self, size: int, fetch: Callable[[int, int], bytes]) -> None:
+        self.size, self.fetch = size, fetch
+        self.first, self.held = 0, b""
+
+    @classmethod
+    def of(cls, content: bytes) -> Source:
+        made = cls(len(content), lambda start, length: content[start : start + length])
+        made.held = content
+        return made
+
+    def read(self, start: int, length: int) -> bytes:
+        at = start - self.first
+        if at < 0 or at + length > len(self.held):
+            if start >= self.size or (self.first <= start and self.first + len(self.held) >= self.size):
+                return self.held[max(0, at) : at + length] if at >= 0 else b""
+            self.first, self.held = start, self.fetch(start, max(length, READ_BYTES))
+            at = 0
+        return self.held[at : at + length]
+
+    def mark(self, at: int) -> int:
+        """Where a gzip member or a version line may begin, from `at` on; or the end."""
+        while at < self.size:
+            part = self.read(at, READ_BYTES)
+            if found := MARK.search(part):
+                return at + found.start()
+            if at + len(part) >= self.size:
+                break
+            at += len(part) - 16
+        return self.size
+
+
+def inflate(source: Source, at: int) -> tuple[bytes, int]:
     """(content, end) of the gzip member at `at`; its checksum holds."""
     machine, out, size, pos = zlib.decompressobj(31), [], 0, at
     while not machine.eof:
-        if pos >= len(data):
+        data = source.read(pos, 65536)
+        if not data:
             raise ValueError("truncated member")
-        out.append(machine.decompress(data[pos : pos + 65536], RECORD_BYTES))
+        out.append(machine.decompress(data, RECORD_BYTES))
         size += len(out[-1])
         if size >= RECORD_BYTES:
             raise ValueError("member too large")
-        pos += 65536
-    return b"".join(out), min(pos, len(data)) - len(machine.unused_data)
+        pos += len(data)
+    return b"".join(out), pos - len(machine.unused_data)
 
 
-def parse(data: memoryview | bytes, at: int) -> tuple[dict[str, str], dict[str, str], bytes, int]:
+def parse(source: Source, at: int) -> tuple[dict[str, str], dict[str, str], bytes, int]:
     """(fields, HTTP fields, payload, end) of the plain record at `at`."""
-    head = bytes(data[at : at + 65536])
+    head = source.read(at, 65536)
     if not VERSION.match(head):
         raise ValueError("no version line")
     stop = head.find(b"\r\n\r\n")
@@ -106,12 +144,15 @@ def parse(data: memoryview | bytes, at: int) -> tuple[dict[str, str], dict[str,
         raise ValueError("no end of header")
     fields = headers(head[:stop])
     length = fields.get("content-length", "")
-    if not length.isdigit():
+    if not (length.isascii() and length.isdigit()):
         raise ValueError("no length")
-    start, end = at + stop + 4, at + stop + 4 + int(length)
-    if bytes(data[end : end + 4]) != b"\r\n\r\n":
+    start, size = at + stop + 4, int(length)
+    if start + size + 4 > source.size or size >= RECORD_BYTES:
+        raise ValueError("length leads beyond the end")
+    block = source.read(start, size + 4)
+    if block[size:] != b"\r\n\r\n":
         raise ValueError("length does not lead to the record's end")
-    block = bytes(data[start:end])
+    block = block[:size]
     if (want := fields.get("warc-block-digest", "")).startswith("sha1:") and want[5:] != base32_sha1(block):
         raise ValueError("block digest differs")
     http, payload = {}, block
@@ -120,36 +161,35 @@ def parse(data: memoryview | bytes, at: int) -> tuple[dict[str, str], dict[str,
         http = headers(first)
         if fields.get("warc-type") == "response" and (want := fields.get("warc-payload-digest", "")).startswith("sha1:") and want[5:] != base32_sha1(payload):
             raise ValueError("payload digest differs")
-    return fields, http, payload, end + 4
+    return fields, http, payload, start + size + 4
 
 
-def at_record(data: memoryview, at: int) -> tuple[list[Record], int]:
+def at_record(source: Source, at: int) -> tuple[list[Record], int]:
     """The records that begin at `at`, in a member or plain, and where they end."""
-    if bytes(data[at : at + 3]) != GZIP:
-        fields, http, payload, end = parse(data, at)
+    if source.read(at, 3) != GZIP:
+        fields, http, payload, end = parse(source, at)
         return [Record(at, end - at, fields, http, payload)], end
     try:
-        content, end = inflate(data, at)
+        content, end = inflate(source, at)
     except zlib.error as e:
         raise ValueError("member does not unpack") from e
-    found, pos = [], 0
+    member, found, pos = Source.of(content), [], 0
     while pos < len(content):
-        fields, http, payload, pos = parse(content, pos)
+        fields, http, payload, pos = parse(member, pos)
         found.append(Record(at, end - at, fields, http, payload))
     return found, end
 
 
-def salvage(content: bytes) -> Iterator[Record | Gap]:
+def salvage(archive: bytes | Source) -> Iterator[Record | Gap]:
     """The valid records of an archive in order, and the gaps between them."""
-    data, raw, at = memoryview(content), content, 0
+    source, at = Source.of(archive) if isinstance(archive, bytes) else archive, 0
     gap: tuple[int, str] | None = None
-    while at < len(data):
+    while at < source.size:
         try:
-            found, end = at_record(data, at)
+            found, end = at_record(source, at)
         except ValueError as e:
             gap = gap or (at, str(e))
-            marks = [raw.find(GZIP, at + 1), m.start() if (m := VERSION.search(raw, at + 1)) else -1]
-            at = min((x for x in marks if x >= 0), default=len(data))
+            at = source.mark(at + 1)
             continue
         if gap:
             yield Gap(gap[0], at - gap[0], gap[1])
@@ -219,31 +259,50 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str
 SCHEMA = "file string, offset long, length long, gap string, type string, record_id string, target string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
-def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+ROWS = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("gap", pa.string()), ("type", pa.string()), ("record_id", pa.string()), ("target", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+
+
+def rows_of(file: str, archive: bytes | Source, payloads: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of one archive, some megabytes of payload at a time."""
+    out, held = [], 0
+    for x in salvage(archive):
+        if isinstance(x, Gap):
+            out.append({"file": file, "offset": x.offset, "length": x.length, "gap": x.reason})
+        else:
+            get, kind = x.fields.get, x.fields.get("warc-type", "")
+            digest = get("warc-payload-digest", "").removeprefix("sha1:") or base32_sha1(x.payload)
+            size = x.http.get("content-length", "") if kind == "revisit" else ""
+            row = {"file": file, "offset": x.offset, "length": x.length, "type": kind, "record_id": get("warc-record-id", "").strip("<>"), "target": get("warc-target-uri"), "payload_digest": digest}
+            row |= {"refers_to": get("warc-refers-to", "").strip("<>") or None, "payload_bytes": int(size) if size.isdigit() else len(x.payload), "payload": x.payload if payloads and kind != "revisit" else None}
+            out.append(row)
+            held += len(x.payload)
+        if held >= 8 << 20 or len(out) >= 4096:
+            yield pa.RecordBatch.from_pylist(out, schema=ROWS)
+            out, held = [], 0
+    yield pa.RecordBatch.from_pylist(out, schema=ROWS)
+
+
+def read(spark: SparkSession, path: str, payloads: bool = True, large_bytes: int = LARGE_BYTES) -> DataFrame:
     """A row for every record, and for every gap (gap holds its reason). A revisit's
-    payload is null, its digest and payload_bytes those of the full payload."""
+    payload is null, its digest and payload_bytes those of the full payload. Large
+    archives are opened by their tasks, through the file system of their path."""
     small_batches(spark, 1)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("gap", pa.string()), ("type", pa.string()), ("record_id", pa.string()), ("target", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out, held = [], 0
-                for x in salvage(content.as_py()):
-                    if isinstance(x, Gap):
-                        out.append({"file": file, "offset": x.offset, "length": x.length, "gap": x.reason})
-                    else:
-                        get, kind = x.fields.get, x.fields.get("warc-type", "")
-                        digest = get("warc-payload-digest", "").removeprefix("sha1:") or base32_sha1(x.payload)
-                        size = x.http.get("content-length", "") if kind == "revisit" else ""
-                        row = {"file": file, "offset": x.offset, "length": x.length, "type": kind, "record_id": get("warc-record-id", "").strip("<>"), "target": get("warc-target-uri"), "payload_digest": digest}
-                        row |= {"refers_to": get("warc-refers-to", "").strip("<>") or None, "payload_bytes": int(size) if size.isdigit() else len(x.payload), "payload": x.payload if payloads and kind != "revisit" else None}
-                        out.append(row)
-                        held += len(x.payload)
-                    if held >= 8 << 20:
-                        yield pa.RecordBatch.from_pylist(out, schema=schema)
-                        out, held = [], 0
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    return files.mapInArrow(run, SCHEMA)
+                yield from rows_of(file, content.as_py(), payloads)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for file, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
+                with store.open_input_file(at) as handle:
+                    yield from rows_of(file, Source(size, lambda start, length, f=handle: f.read_at(length, start)), payloads)
+
+    small = files.where(F.col("length") <= large_bytes).select("path", "content").mapInArrow(whole, SCHEMA)
+    large = files.where(F.col("length") > large_bytes).select("path", "length").mapInArrow(opened, SCHEMA)
+    return small.union(large)

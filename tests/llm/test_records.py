@@ -25,6 +25,8 @@ def test_archives_round_trip(spark, tmp_path):
     assert got["urn:page:6"].payload == b"long" * 50_000
     assert got["urn:page:null"].type == "response"
     assert got["urn:page:2"].payload_digest == got["urn:page:1"].payload_digest == warc.base32_sha1("aé".encode())
+    streamed = {r.record_id: r for r in warc.read(spark, path, large_bytes=10).collect()}
+    assert streamed == got
     assert warc.write(frame.limit(0), f"file://{tmp_path}/b") == 0
 
 
@@ -67,6 +69,12 @@ def test_salvage_finds_all_that_is_whole(seed):
     ids, gaps = found(data)
     assert ids == [i for i in range(6) if i not in hurt]
     assert sum(g.length for g in gaps) == sum(len(members[i]) for i in hurt)
+    for block in (64, 100_000):  # read piece by piece
+
+        def fetch(start, length, block=block):
+            return data[start : start + min(length, max(length, block))]
+
+        assert list(warc.salvage(warc.Source(len(data), fetch))) == list(warc.salvage(data))
 
 
 @pytest.mark.parametrize(
