@@ -121,9 +121,9 @@ class Source:
 
 def inflate(source: Source, at: int) -> tuple[bytes, int]:
     """(content, end) of the gzip member at `at`; its checksum holds."""
-    machine, out, size, pos = zlib.decompressobj(31), [], 0, at
+    machine, out, size, pos, step = zlib.decompressobj(31), [], 0, at, 4096
     while not machine.eof:
-        data = source.read(pos, 65536)
+        data, step = source.read(pos, step), 65536
         if not data:
             raise ValueError("truncated member")
         out.append(machine.decompress(data, RECORD_BYTES))
@@ -136,10 +136,13 @@ def inflate(source: Source, at: int) -> tuple[bytes, int]:
 
 def parse(source: Source, at: int) -> tuple[dict[str, str], dict[str, str], bytes, int]:
     """(fields, HTTP fields, payload, end) of the plain record at `at`."""
-    head = source.read(at, 65536)
+    head = source.read(at, 2048)
     if not VERSION.match(head):
         raise ValueError("no version line")
     stop = head.find(b"\r\n\r\n")
+    if stop < 0:  # a long header
+        head = source.read(at, 65536)
+        stop = head.find(b"\r\n\r\n")
     if stop < 0:
         raise ValueError("no end of header")
     fields = headers(head[:stop])
