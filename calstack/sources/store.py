@@ -11,7 +11,6 @@ from __future__ import annotations
 import datetime
 import os
 import re
-import tempfile
 from dataclasses import dataclass
 from typing import Any
 from urllib.parse import quote, unquote
@@ -374,10 +373,11 @@ _default: Store | None = None
 
 
 def default_store() -> Store:
-    """The store at $CALSTACK_STORE, else one in a temporary folder of this process."""
+    """The store at $CALSTACK_STORE, else in the warehouse, which all executors share."""
     global _default
     if _default is None:
-        _default = Store(os.environ.get("CALSTACK_STORE") or tempfile.mkdtemp(prefix="calstack-store-"))
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        _default = Store(os.environ.get("CALSTACK_STORE") or f"{spark.conf.get('spark.sql.warehouse.dir')}/calstack_store")
     return _default
 
 
