@@ -107,5 +107,9 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def with_row(df: DataFrame, name: str) -> DataFrame:
     """Adds a row number that is unique and the same each time a stored table is
-    read, whatever ids the rows carry."""
+    read, whatever ids the rows carry. How files are cut into partitions must not
+    follow the number of executors that happen to be alive, so it is fixed here."""
+    conf, least = df.sparkSession.conf, "spark.sql.files.minPartitionNum"
+    if conf.get(least, None) is None:
+        conf.set(least, str(df.sparkSession.sparkContext.defaultParallelism))
     return df.withColumn(name, F.monotonically_increasing_id())
