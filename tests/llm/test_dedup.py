@@ -165,3 +165,53 @@ def test_contamination(spark, block_bytes):
     assert [(r.n_words, r.hits, r.items) for r in rows] == brute_contamination(texts, items, 4)
     assert decontaminate.contamination(frame(spark, []), benchmark).count() == 0
     assert decontaminate.contamination(frame(spark, ["a b"]), benchmark.limit(0)).first().hits == []
+
+
+def brute_jaccard(texts):
+    """The groups of J >= 0.8 by lower-cased five-word shingles, over all pairs."""
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared, n = len(sets[i] & sets[j]), len(sets[i]) + len(sets[j])
+            if 9 * shared >= 4 * n:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))], sets
+
+
+def near_copies(seed, n=40):
+    """Texts and copies of them with so many words changed that J is 0.7 to 1; many
+    of one text, a chain, and a line that all texts end with."""
+    rng = random.Random(seed)
+    texts = []
+    for i in range(n):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((3, 8, 60, 200, 400)))]
+        texts.append(" ".join([*words, *"the same line is in all of them".split()]))
+        for _ in range(30 if i == 0 else 2):
+            copy = list(words)
+            for _ in range(rng.randrange(0, max(2, len(words) // 30))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join([*copy, *"THE same line is in all of them".split()]))
+    return [*texts, None, "", " \n", "É a b c d e", "é a b c d e", texts[0]]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicate_stage_links_all_of_similarity(spark, seed):
+    import corpus_pipeline
+
+    texts = near_copies(seed)
+    roots, sets = brute_jaccard(texts)
+    similar = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a | b]
+    assert sum(0.8 <= x < 0.95 for x in similar) > 20
+    kept = corpus_pipeline.near_duplicate_stage(spark, frame(spark, texts), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(roots))
