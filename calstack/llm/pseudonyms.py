@@ -7,8 +7,9 @@ a permutation of its own format's values, so equal values stay linked across
 documents and different ones stay apart. Cards keep their first digit and get a
 right check digit, phone numbers keep the country code and class of area code,
 addresses stay addresses, dates stay dates of 1900 to 2099 in their own notation.
-E-mail names and access keys are permuted as numbers in their own alphabet. What
-is not valid stays as it is.
+E-mail names and access keys are permuted as numbers in their own alphabet; secrets
+in hex digits are the same value in either case, and keep the case that they have.
+What is not valid stays as it is.
 
 Null text: null, no findings. Empty text: empty. Texts without findings: unchanged.
 Other columns of the input are kept as they are.
@@ -16,6 +17,8 @@ Other columns of the input are kept as they are.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +28,17 @@ ROUNDS = 12
 #: Days from 1900-01-01 to 2099-12-31, as a product.
 DAYS_LEFT, DAYS_RIGHT = 17, 4297
 
+#: What every text with a value of a format holds; other texts are not searched.
+HINT = "[0-9@=:]|AKIA"
 #: Formats: name, pattern, and what may not stand before or after it.
 FORMATS = [
     ("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+", r"(?<![A-Za-z0-9._%+-])", ""),
-    ("card", r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|\d{13,19}", r"(?<![\w+.-])", r"(?![\w-])"),
-    ("phone", r"(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|(?:\+1[ .-]?)?\d{3}[.-]\d{3}[.-]\d{4}|\+1\d{10}", r"(?<![\w+.-])", r"(?![\w-])"),
+    ("card", r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5}|\d{13,19}", r"(?<![\w+.-])", r"(?![\w-])"),
+    ("phone", r"(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|(?:\+1[ .-]?)?\d{3}[ .-]\d{3}[ .-]\d{4}|\+1\d{10}", r"(?<![\w+.-])", r"(?![\w-])"),
     ("ssn", r"\d{3}-\d{2}-\d{4}", r"(?<![\w+.-])", r"(?![\w-])"),
     ("ip", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", r"(?<![\w.+-])", r"(?![\w-]|\.\d)"),
     ("date", r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}", r"(?<![\w/.+-])", r"(?![\w/-]|\.\d)"),
-    ("secret", r"AKIA[0-9A-Z]{16}|(?:password|passwd|token|secret|api_?key) ?[=:] ?[\"']?[0-9a-f]{8,64}", r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"),
+    ("secret", r"AKIA[0-9A-Z]{16}|(?i:password|passwd|token|secret|api_?key) ?[=:] ?[\"']?[0-9a-fA-F]{8,64}", r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"),
 ]
 
 
@@ -41,8 +46,8 @@ def pattern() -> str:
     """All formats in one expression; references count groups from its start."""
     parts, groups = [], 0
     for _, body, before, after in FORMATS:
-        own = body.replace(r"\1", rf"\{groups + 1}")
-        groups += r"\1" in body
+        own = re.sub(r"\\([1-9])", lambda m, at=groups: rf"\{at + int(m[1])}", body)
+        groups += re.compile(body).groups
         parts.append(f"{before}(?:{own}){after}")
     return "|".join(parts)
 
@@ -157,8 +162,11 @@ def email(key: str) -> str:
 
 def secret(key: str) -> str:
     access = let("lower(substr(m, 5))", "e", f"concat('AKIA', upper({spelled('e', 36, 'key', key)}))")
-    parts = [f"regexp_extract(m, '^(.*?)([0-9a-f]{{8,64}})$', {k})" for k in (1, 2)]
-    assigned = let(parts[1], "e", f"concat({parts[0]}, {spelled('e', 16, 'password', key)})")
+    parts = [f"regexp_extract(m, '^(.*?)([0-9a-fA-F]{{8,64}})$', {k})" for k in (1, 2)]
+    each = "if(substr(v, j, 1) RLIKE '[A-F]', upper(substr(c, j, 1)), substr(c, j, 1))"
+    cased = f"CASE WHEN NOT v RLIKE '[A-F]' THEN c WHEN NOT v RLIKE '[a-f]' THEN upper(c) ELSE array_join(transform(sequence(1, length(v)), j -> {each}), '') END"
+    made = let("lower(v)", "e", let(spelled("e", 16, "password", key), "c", cased))
+    assigned = let(parts[1], "v", f"concat({parts[0]}, {made})")
     return f"if(m LIKE 'AKIA%', {access}, {assigned})"
 
 
@@ -187,7 +195,7 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", into: str =
     own = F.col(text_col).cast("string")
     found, values = fresh(docs, "__found"), fresh(docs, "__values")
     candidates = F.regexp_extract_all(own, F.lit(pattern()), F.lit(0))
-    some = docs.withColumn(found, F.when(own.rlike("[0-9@]"), candidates).otherwise(F.array().cast("array<string>")))
+    some = docs.withColumn(found, F.when(own.rlike(HINT), candidates).otherwise(F.array().cast("array<string>")))
     valued = some.withColumn(values, F.expr(f"transform({found}, m -> named_struct('m', m, 'kind', {kind()}))"))
     new = F.expr(f"transform({values}, v -> {let('v.m', 'm', let('v.kind', 'kind', pseudonym(key)))})")
     parts = F.split(own, pattern(), -1)
