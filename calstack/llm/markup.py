@@ -8,7 +8,8 @@ in tables, white space as written in preformatted text.
 
 Null page: null. Empty page or one without visible text: empty text. Malformed
 markup never fails: stray tags are skipped, open elements end with the page, and
-elements nested deeper than DEPTH join their parent at that depth. Null ids and
+elements nested deeper than DEPTH join their parent at that depth. What stands in a
+table outside its cells is shown before it. Null ids and
 repeated rows are kept. Only the two named columns are read.
 """
 
@@ -127,6 +128,8 @@ def tree(page: str) -> Node:
             push("tr", "", True)
         node = Node(name, attributes(source))
         open_[-1].children.append(node)
+        if name == "form" and open_[-1].tag in ("table", "thead", "tbody", "tfoot", "tr"):
+            return  # holds nothing there: the cells after it are the row's
         if stays and len(open_) < DEPTH:
             open_.append(node)
 
@@ -232,6 +235,20 @@ def rows(table: Node) -> Iterator[Node]:
         yield from part
 
 
+def strays(table: Node) -> Iterator[Node | str]:
+    """What stands in a table, a row group or a row but in no cell; it is shown before
+    the table."""
+    for child in table.children:
+        if isinstance(child, Node) and child.tag in ("thead", "tbody", "tfoot", "tr"):
+            if shown(child):
+                yield from strays(child)
+        elif isinstance(child, str):
+            if not child.isspace():
+                yield child
+        elif child.tag not in ("colgroup", "col") and not (table.tag == "tr" and child.tag in ("td", "th")):
+            yield child
+
+
 def table_lines(table: Node, depth: int) -> list[str]:
     """Cells side by side, columns padded to their widest cell; spans take their
     columns' room."""
@@ -290,11 +307,10 @@ def render(root: Node, depth: int = 0) -> list[str]:
                 page.gap()
             elif tag == "table" and depth < 8:
                 page.gap()
-                for part in (c for c in child.children if isinstance(c, str) or c.tag not in ("thead", "tbody", "tfoot", "tr", "colgroup", "col")):
-                    if isinstance(part, str):
-                        page.word(part, False)
-                    elif shown(part):
-                        walk(part, False, lists)
+                for part in strays(child):
+                    alone = Node("div", {})
+                    alone.children.append(part)
+                    walk(alone, False, lists)
                     page.end()
                 for line in table_lines(child, depth):
                     page.put(line)

@@ -110,6 +110,33 @@ def test_pages_of_any_kind_render(spark):
     assert rows[0].text == "deep"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><form><td>text</td></form></tr></table>", "text"),
+        ("<table><form><tr><td>a</td><td>b</td></tr></form></table>", "a | b"),
+        ("<table><tr>loose<td>cell</td></tr></table>", "loose\ncell"),
+        ("<table><tbody><div>loose</div><tr><a>link</a><td>cell</table>", "loose\nlink\ncell"),
+        ("<table><tr hidden>no<td>no</td></tr><tr><td>cell</table>", "cell"),
+    ],
+)
+def test_strays_of_tables_are_shown(page, text):
+    assert markup.text_of(page) == text
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_every_visible_text_appears(seed):
+    rng = random.Random(seed)
+    tags = "table table tr tr td th tbody thead tfoot form div a font b p ul li caption".split()
+    parts = ["<font>" * rng.choice((0, 0, 190, 194, 196, 197, 198, 199, 250))]
+    words = [f"word{i}x" for i in range(25)]
+    for word in words:
+        parts += [f"<{'/' * (rng.random() < 0.3)}{rng.choice(tags)}>" for _ in range(rng.randrange(4))]
+        parts.append(word)
+    text = markup.text_of("".join(parts))
+    assert [w for w in words if w not in text] == []
+
+
 def brute_best_fit(lengths, width):
     rooms, rows = [], []
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
