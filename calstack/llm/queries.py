@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archives")
     warc.write(table(spark, sf_dir, "pages"), path)
-    records = warc.read(spark, path, payloads=False).where("gap IS NULL")
+    whole = F.assert_true(F.col("gap").isNull(), F.concat(F.lit("gap in an archive just written: "), "file", F.lit(": "), "gap"))
+    records = warc.read(spark, path, payloads=False).where(whole.isNull())
     number = {c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS BIGINT)") for c in ("record_id", "refers_to")}
     return records.select(number["record_id"].alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number["refers_to"].alias("refers_to"))
 

@@ -139,10 +139,10 @@ def parse(source: Source, at: int) -> tuple[dict[str, str], dict[str, str], byte
     head = source.read(at, 2048)
     if not VERSION.match(head):
         raise ValueError("no version line")
-    stop = head.find(b"\r\n\r\n")
-    if stop < 0:  # a long header
-        head = source.read(at, 65536)
-        stop = head.find(b"\r\n\r\n")
+    size = 2048
+    while (stop := head.find(b"\r\n\r\n")) < 0 and len(head) == size and size < RECORD_BYTES:  # a long header
+        size *= 8
+        head = source.read(at, size)
     if stop < 0:
         raise ValueError("no end of header")
     fields = headers(head[:stop])

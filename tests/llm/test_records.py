@@ -60,6 +60,23 @@ def test_salvage_skips_damage_and_logs_the_gap():
     assert found(b"") == ([], [])
 
 
+@pytest.mark.parametrize("n", [65_000, 70_000, 3_000_000])
+def test_headers_of_any_length(n):
+    url = "data:text/html," + "x " * (n // 2)
+    data = warc.record("response", "urn:page:7", url, "1970-01-01T00:00:00Z", b"p", 1, warc.base32_sha1(b"p"))
+    for archive_ in (data, gzip.compress(data), data + gzip.compress(data)):
+        out = list(warc.salvage(archive_))
+        assert out
+        assert all(isinstance(x, warc.Record) and x.fields["warc-target-uri"] == url.replace(" ", "%20") for x in out)
+    assert found(b"WARC/1.1\r\n" + b"a: b" * n)[0] == []
+
+
+def test_op1_fails_on_a_gap_of_its_own(spark, sf, monkeypatch):
+    monkeypatch.setattr(warc, "read", lambda spark, path, payloads: spark.createDataFrame([("f", "lost")], "file string, gap string").selectExpr("*", "'a:1' record_id", "'' refers_to", "1 payload_bytes", "'' payload_digest", "'' type"))
+    with pytest.raises(Exception, match="gap in an archive just written"):
+        queries.op1_warc(spark, sf).collect()
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_salvage_finds_all_that_is_whole(seed):
     rng = random.Random(seed)
