@@ -8,7 +8,9 @@ same files.
 
 The reader checks member checksums, headers, lengths and digests. Where a check
 fails it looks for the next gzip member or version line that begins a valid record,
-goes on there, and reports the bytes between as a gap with its reason.
+goes on there, and reports the bytes between as a gap with its reason. Within a
+member of several records it does the same over what unpacked, also before damage;
+a record that fills its damaged member alone goes with it.
 
 Null payload: empty. Null id: stored as a response of its own, id null when read.
 Null target: empty. Rows that share the largest id: all are responses. Empty table:
@@ -119,19 +121,39 @@ class Source:
         return self.size
 
 
-def inflate(source: Source, at: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at `at`; its checksum holds."""
+def inflate(source: Source, at: int) -> tuple[bytes, int, str | None]:
+    """(content, end, damage) of the gzip member at `at`; damage is None if its
+    checksum holds, else what is wrong with it, and content what unpacked before."""
     machine, out, size, pos, step = zlib.decompressobj(31), [], 0, at, 4096
     while not machine.eof:
         data, step = source.read(pos, step), 65536
         if not data:
-            raise ValueError("truncated member")
-        out.append(machine.decompress(data, RECORD_BYTES))
+            return b"".join(out), pos, "truncated member"
+        try:
+            out.append(machine.decompress(data, RECORD_BYTES))
+        except zlib.error:
+            out += unpacked(source, at, pos, data)
+            return b"".join(out), pos, "member does not unpack"
         size += len(out[-1])
         if size >= RECORD_BYTES:
-            raise ValueError("member too large")
+            return b"".join(out), pos, "member too large"
         pos += len(data)
-    return b"".join(out), pos - len(machine.unused_data)
+    return b"".join(out), pos - len(machine.unused_data), None
+
+
+def unpacked(source: Source, at: int, stop: int, data: bytes) -> list[bytes]:
+    """What unpacks of `data`, which fails, after the bytes from `at` to `stop`."""
+    machine, pos, out = zlib.decompressobj(31), at, []
+    while pos < stop:
+        part = source.read(pos, min(65536, stop - pos))
+        machine.decompress(part, RECORD_BYTES)
+        pos += len(part)
+    try:
+        for i in range(len(data)):
+            out.append(machine.decompress(data[i : i + 1], RECORD_BYTES))
+    except zlib.error:
+        pass
+    return out
 
 
 def parse(source: Source, at: int) -> tuple[dict[str, str], dict[str, str], bytes, int]:
@@ -167,29 +189,50 @@ def parse(source: Source, at: int) -> tuple[dict[str, str], dict[str, str], byte
     return fields, http, payload, start + size + 4
 
 
-def at_record(source: Source, at: int) -> tuple[list[Record], int]:
-    """The records that begin at `at`, in a member or plain, and where they end."""
+def in_member(content: bytes) -> Iterator[tuple[int, int, tuple | str]]:
+    """(start, end, record or reason) of the records and gaps of a member."""
+    member, pos, gap = Source.of(content), 0, None
+    while pos < len(content):
+        try:
+            *made, end = parse(member, pos)
+        except ValueError as e:
+            gap = gap or (pos, str(e))
+            after = VERSION.search(content, pos + 1)
+            pos = after.start() if after else len(content)
+            continue
+        if gap:
+            yield gap[0], pos, gap[1]
+            gap = None
+        yield pos, end, tuple(made)
+        pos = end
+    if gap:
+        yield gap[0], pos, gap[1]
+
+
+def at_record(source: Source, at: int) -> tuple[list[Record | Gap], int, str | None]:
+    """The records that begin at `at`, in a member or plain, where they end, and the
+    damage of their member. A gap within a member has the member's place."""
     if source.read(at, 3) != GZIP:
         fields, http, payload, end = parse(source, at)
-        return [Record(at, end - at, fields, http, payload)], end
-    try:
-        content, end = inflate(source, at)
-    except zlib.error as e:
-        raise ValueError("member does not unpack") from e
-    member, found, pos = Source.of(content), [], 0
-    while pos < len(content):
-        fields, http, payload, pos = parse(member, pos)
-        found.append(Record(at, end - at, fields, http, payload))
-    return found, end
+        return [Record(at, end - at, fields, http, payload)], end, None
+    content, end, damage = inflate(source, at)
+    found = list(in_member(content))
+    if damage and found and isinstance(found[-1][2], str):
+        found.pop()  # its cut end
+    alone = len(found) == 1 and found[0][:2] == (0, len(content))  # the member's checksum is its own
+    if (damage and alone) or ((damage or found) and not any(isinstance(x, tuple) for _, _, x in found)):
+        raise ValueError(damage or found[0][2])
+    return [Gap(at, end - at, f"in the member, at byte {a} to {b}: {x}") if isinstance(x, str) else Record(at, end - at, *x) for a, b, x in found], end, damage
 
 
 def salvage(archive: bytes | Source) -> Iterator[Record | Gap]:
-    """The valid records of an archive in order, and the gaps between them."""
+    """The valid records of an archive in order, and the gaps between them. Of a
+    damaged member the records that unpacked whole come first, then its gap."""
     source, at = Source.of(archive) if isinstance(archive, bytes) else archive, 0
     gap: tuple[int, str] | None = None
     while at < source.size:
         try:
-            found, end = at_record(source, at)
+            found, end, damage = at_record(source, at)
         except ValueError as e:
             gap = gap or (at, str(e))
             at = source.mark(at + 1)
@@ -198,7 +241,10 @@ def salvage(archive: bytes | Source) -> Iterator[Record | Gap]:
             yield Gap(gap[0], at - gap[0], gap[1])
             gap = None
         yield from found
-        at = end
+        if damage:
+            gap, at = (at, damage), source.mark(at + 1)
+        else:
+            at = end
     if gap:
         yield Gap(gap[0], at - gap[0], gap[1])
 

@@ -60,6 +60,25 @@ def test_salvage_skips_damage_and_logs_the_gap():
     assert found(b"") == ([], [])
 
 
+def test_members_of_several_records_lose_only_the_damaged_one():
+    plain, members = archive()
+    changed = plain[2].replace(b"payload 2", b"payload 9", 1)
+    whole = gzip.compress(b"".join([*plain[:2], changed, *plain[3:]]), mtime=0)
+    ids, gaps = found(whole + members[0])
+    assert ids == [0, 1, 3, 4, 5, 0]
+    assert len(gaps) == 1
+    assert "block digest differs" in gaps[0].reason
+    noisy = [random.Random(i).randbytes(9000) for i in range(6)]
+    plain = [warc.record("response", f"urn:page:{i}", "u", "1970-01-01T00:00:00Z", p, len(p), warc.base32_sha1(p)) for i, p in enumerate(noisy)]
+    whole = gzip.compress(b"".join(plain), mtime=0)
+    ids, gaps = found(whole[: len(whole) // 2])
+    assert ids in ([0, 1], [0, 1, 2])
+    assert [g.reason for g in gaps] == ["truncated member"]
+    ids, gaps = found(whole[:-8] + b"\0" * 8)
+    assert ids == [0, 1, 2, 3, 4, 5]
+    assert [g.reason for g in gaps] == ["member does not unpack"]
+
+
 @pytest.mark.parametrize("n", [65_000, 70_000, 3_000_000])
 def test_headers_of_any_length(n):
     url = "data:text/html," + "x " * (n // 2)
