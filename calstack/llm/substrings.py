@@ -1,4 +1,4 @@
-"""Duplicate word passages by Relative Lempel-Ziv parsing.
+"""Duplicate word passages by hashes of anchored phrases and of windows.
 
 Every window of `window` words is anchored at the smallest hash among its
 `anchor`-word sequences, so equal windows have equal anchors wherever they stand.
