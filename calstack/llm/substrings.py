@@ -1,22 +1,25 @@
-"""Duplicate word passages by hashes of anchored phrases and of windows.
+"""Duplicate word passages by Relative Lempel-Ziv parsing.
 
 Every window of `window` words is anchored at the smallest hash among its
 `anchor`-word sequences, so equal windows have equal anchors wherever they stand.
-Consecutive windows with one anchor form a phrase. The index of all phrases, by
-anchor, is the reference; its hash shards are the reference blocks, and a document
-meets every block that any of its factors can be in, its own phrases' other
-places included.
-
-Parsing is greedy, longest first: a phrase that the reference holds a second time
-is a factor as a whole. A phrase whose anchor is known but that occurs once is the
-boundary of a factor: there each window is looked up by itself in the index of
-windows of the distinct phrases of that anchor (one representative each). Factors
-of at least `window` words are the duplicate spans. Hot anchors, phrases and
-windows are counted before they are shuffled, and joins on them can be split.
-
-Phrases and windows are compared by 64 and 128 bits of hash. Null text: no words.
-Fewer words than a window: nothing is removed. Repeated rows are duplicates of
-each other. Null ids are kept. Only the id and text columns are read.
+Consecutive windows with one anchor form a phrase. The reference is the set of
+distinct phrases whose anchor occurs more than once, cut into blocks by anchor: a
+factor of `window` words or more lies in the block of its anchor and in no other, so
+a document that meets the blocks of its anchors has met every block.
+
+A phrase that the reference holds a second time is a factor as a whole. Another one
+is parsed against its block, greedily from the left: the places of the window that
+begins at a word are looked up in the block's index, the factor grows word by word
+while one of these places agrees, the words themselves being compared, and the
+longest one counts. The windows that begin in a factor and end behind it, at the
+factor's boundary, are looked up in turn. Factors of at least `window` words are the
+duplicate spans. Anchors with more than BLOCK_PHRASES distinct phrases are not kept
+together in one block: there all windows are counted by hash, which finds the same.
+
+Whole phrases are named by 128 bits of hash (anchor and words), counted windows by
+128 bits. Null text: no words. Fewer words than a window: nothing is removed.
+Repeated rows are duplicates of each other. Null ids are kept. Words may be of any
+length. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -32,6 +35,11 @@ from pyspark.sql import functions as F
 from calstack.llm.common import small_batches, stored, with_row
 from calstack.llm.wordhash import Sequences, chunks, hashed
 
+#: Distinct phrases of one anchor that are parsed in a block, and phrases of a block.
+BLOCK_PHRASES, BLOCK_ROWS = 256, 40_000
+#: What a document is told of a phrase: it is a factor as a whole, it stands in a block
+#: for others or to be parsed itself, or the same by counted windows.
+WHOLE, REFERENCE, PENDING, COUNTED = 0, 1, 2, 4
 #: A phrase of a document as one long: first window times 64, plus the number of windows.
 PACK = 64
 
@@ -106,50 +114,106 @@ RESULT = "row long, id {kind}, n_words long, n_removed long, kept_sha256 string,
 
 def parse(joined: DataFrame, kind: str, window: int) -> DataFrame:
     """Marks the whole factors of each document (row, id, text, factors); a document
-    with phrases at a factor's boundary keeps its text and lists their windows."""
-    schema = RESULT.format(kind=kind) + ", text string, known array<long>, windows array<struct<w1:long,w2:long,at:long>>"
-    struct = pa.struct([("w1", pa.int64()), ("w2", pa.int64()), ("at", pa.int64())])
+    with phrases to be parsed keeps its text. Lists the words of phrases for the
+    blocks, and the windows of those whose windows are counted."""
+    schema = RESULT.format(kind=kind) + ", text string, known array<long>, phrases array<struct<a:long,at:long,words:binary>>, windows array<struct<w1:long,w2:long,at:long>>"
+    windows_type = pa.struct([("w1", pa.int64()), ("w2", pa.int64()), ("at", pa.int64())])
+    phrases_type = pa.struct([("a", pa.int64()), ("at", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-            for text, packed in zip(encoded(batch.column(2)), batch.column(3), strict=True):
-                at = np.array(packed.as_py() or [], np.int64)
-                kinds, at = at % 4, at // 4
-                begin, count = at // PACK, at % PACK
-                whole, open_ = kinds == 0, kinds > 0
-                words = len(text.split())
-                found: list | None = []
-                if open_.any():
+            for text, told in zip(encoded(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                words, whole, wait, sent, hot = text.split(), [], False, [], []
+                for item in told or []:
+                    at, told_kind, a = item["at"] >> 3, item["at"] & 7, item["a"]
+                    begin, count = at // PACK, at % PACK
+                    wait |= bool(told_kind & PENDING)
+                    if told_kind == WHOLE:
+                        whole.append(at)
+                    elif told_kind & COUNTED:
+                        hot.append((begin, count, told_kind & PENDING))
+                    else:
+                        sent.append({"a": a, "at": at if told_kind == PENDING else -1, "words": b" ".join(words[begin : begin + count + window - 1])})
+                counted: list[dict] = []
+                if hot:
                     hashes, _ = hashed([text])
-                    i = np.concatenate([np.arange(b, b + c) for b, c in zip(begin[open_].tolist(), count[open_].tolist(), strict=True)])
-                    pending = np.repeat(kinds[open_] == 2, count[open_])
+                    i = np.concatenate([np.arange(b, b + c) for b, c, _ in hot])
+                    pending = np.repeat([p for _, _, p in hot], [c for _, c, _ in hot])
                     one, two = (Sequences(hashes, k).runs(i, window).view(np.int64).tolist() for k in (0, 1))
-                    found = list(zip(one, two, np.where(pending, i, -1).tolist(), strict=True))
-                wait = bool((kinds == 2).any())
-                drop = covered(words, begin[whole], begin[whole] + count[whole] + window - 1)
+                    counted = [{"w1": x, "w2": y, "at": z} for x, y, z in zip(one, two, np.where(pending, i * PACK + 1, -1).tolist(), strict=True)]
+                known = np.array(whole, np.int64)
+                drop = covered(len(words), known // PACK, known // PACK + known % PACK + window - 1)
                 done = (None, None) if wait else kept(text, drop)
-                row = (words, *done, None if wait else spans(drop), text.decode("utf-8", "surrogatepass") if wait else None, at[whole].tolist() if wait else None, [dict(zip(("w1", "w2", "at"), x, strict=True)) for x in found])
-                for column, value in zip(out, row, strict=False):
+                row = (len(words), *done, None if wait else spans(drop), text.decode("utf-8", "surrogatepass") if wait else None, whole if wait else None, sent, counted)
+                for column, value in zip(out, row, strict=True):
                     column.append(value)
-            types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())), pa.string(), pa.list_(pa.int64()), pa.list_(struct)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(out, types, strict=False))], ["row", "id", "n_words", "n_removed", "kept_sha256", "spans", "text", "known", "windows"])
+            types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())), pa.string(), pa.list_(pa.int64()), pa.list_(phrases_type), pa.list_(windows_type)]
+            names = ["row", "id", "n_words", "n_removed", "kept_sha256", "spans", "text", "known", "phrases", "windows"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names)
 
     return joined.mapInArrow(run, schema)
 
 
+def greedy(block: list[bytes], window: int, parsed: list[bool]) -> Iterator[tuple[int, int, int]]:
+    """(phrase, first window, number of windows) of the factors of the phrases that are
+    `parsed`, each the longest from where it begins; a phrase is not its own reference
+    at the same place."""
+    index: dict[bytes, list[tuple[int, int]]] = {}
+    windows: list[list[bytes]] = []
+    for p, text in enumerate(block):
+        starts = [0]
+        for word in text.split(b" "):
+            starts.append(starts[-1] + len(word) + 1)
+        windows.append([text[a : b - 1] for a, b in zip(starts, starts[window:], strict=False)])
+        for i, key in enumerate(windows[-1]):
+            index.setdefault(key, []).append((p, i))
+    for p, own in enumerate(windows):
+        i = 0 if parsed[p] else len(own)
+        while i < len(own):
+            first, places = i, [x for x in index[own[i]] if x != (p, i)]
+            while places:
+                i += 1
+                if i == len(own):
+                    break
+                places = [(q, j + 1) for q, j in places if j + 1 < len(windows[q]) and windows[q][j + 1] == own[i]]
+            if i > first:
+                yield p, first, i - first
+            else:
+                i += 1
+
+
+def in_blocks(phrases_: DataFrame, window: int) -> DataFrame:
+    """(row, at): the factors of (row, a, at, words), block by block; at as in phrases."""
+    blocks = max(1, -(-phrases_.count() // BLOCK_ROWS))
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by("a").combine_chunks()
+        anchors = table.column("a").to_numpy()
+        edges = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1])) if len(anchors) else []
+        rows, places = [], []
+        for a, b in zip(edges, [*edges[1:], len(anchors)], strict=True):
+            part = table.slice(int(a), int(b - a))
+            row, at = part.column("row").to_pylist(), part.column("at").to_pylist()
+            for p, first, count in greedy(part.column("words").to_pylist(), window, [x >= 0 for x in at]):
+                rows.append(row[p])
+                places.append((at[p] // PACK + first) * PACK + count)
+        return pa.table({"row": pa.array(rows, pa.int64()), "at": pa.array(places, pa.int64())})
+
+    block = F.pmod(F.xxhash64("a"), F.lit(blocks))
+    return phrases_.groupBy(block.alias("block")).applyInArrow(search, "row long, at long")
+
+
 def finish(waiting: DataFrame, kind: str, window: int) -> DataFrame:
-    """The documents that waited for their boundary windows (row, id, n_words, text,
+    """The documents that waited for the factors of their phrases (row, id, n_words, text,
     known, hits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, digests, marked = [], [], []
             for text, known, hits in zip(encoded(batch.column(3)), batch.column(4), batch.column(5), strict=True):
-                at, more = np.array(known.as_py() or [], np.int64), np.array(hits.as_py() or [], np.int64)
-                begin = np.concatenate((at // PACK, more))
-                stop = np.concatenate((at // PACK + at % PACK, more + 1)) + window - 1
-                drop = covered(len(text.split()), begin, stop)
+                at = np.array([*(known.as_py() or []), *(hits.as_py() or [])], np.int64)
+                drop = covered(len(text.split()), at // PACK, at // PACK + at % PACK + window - 1)
                 n, digest = kept(text, drop)
                 removed.append(n)
                 digests.append(digest)
@@ -173,14 +237,17 @@ def duplicate_passages(docs: DataFrame, window: int = 35, anchor: int = 8, id_co
     twice = stored(pieces.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors")
     known = stored(pieces.join(twice, "a"), "phrases")
     distinct = stored(known.groupBy("a", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("first")), "distinct")
-    factors = known.join(distinct.where("n > 1").select("a", "phrase"), ["a", "phrase"]).selectExpr("row", "at * 4 AS at")
-    several = stored(distinct.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a"), "several")
-    ends = distinct.join(several, "a").selectExpr("first.row AS row", "first.at * 4 + if(n > 1, 1, 2) AS at")
-    per_doc = factors.union(ends).groupBy("row").agg(F.collect_list("at").alias("factors"))
+    whole = known.join(distinct.where("n > 1").select("a", "phrase"), ["a", "phrase"]).selectExpr("row", f"at * 8 + {WHOLE} AS at", "0L AS a")
+    several = stored(distinct.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "several")
+    told = F.expr(f"first.at * 8 + if(n > 1, {REFERENCE}, {PENDING}) + if(m > {BLOCK_PHRASES}, {COUNTED}, 0)")
+    parts = distinct.join(several, "a").select("first.row", told.alias("at"), "a")
+    per_doc = whole.union(parts).groupBy("row").agg(F.collect_list(F.struct("at", "a")).alias("factors"))
     parsed = stored(parse(rows.join(per_doc, "row", "left"), kind, window), "parsed")
+    blocked = stored(in_blocks(parsed.select("row", F.explode("phrases").alias("p")).select("row", "p.*"), window), "factors")
     windows = parsed.select("row", F.explode("windows").alias("w")).select("row", "w.*")
     again = stored(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "windows")
-    hits = windows.where("at >= 0").join(again, ["w1", "w2"]).groupBy("row").agg(F.collect_list("at").alias("hits"))
+    counted = windows.where("at >= 0").join(again, ["w1", "w2"]).select("row", "at")
+    hits = blocked.union(counted).groupBy("row").agg(F.collect_list("at").alias("hits"))
     waiting = parsed.where("text IS NOT NULL").select("row", "id", "n_words", "text", "known").join(hits, "row", "left")
     done = parsed.where("text IS NULL").select("row", "id", "n_words", "n_removed", "kept_sha256", "spans")
     return done.union(finish(waiting.select("row", "id", "n_words", "text", "known", "hits"), kind, window))

@@ -11,12 +11,15 @@ import numpy as np
 
 #: Bytes of text hashed at a time; a longer text is one chunk of its own.
 CHUNK = 1 << 19
-#: Powers are kept for so many positions within a word; a longer word reuses them.
+#: Bytes of a word that are hashed as one part; a longer word is hashed from its parts.
 REACH = 1 << 12
 
 U = np.uint64
 
 
+STEP = U(0x9E3779B97F4A7C15)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (splitmix64's finish)."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -30,7 +33,7 @@ def powers(base: int, count: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-BYTES = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * STEP)
 WITHIN = powers(0xD1342543DE82EF95, REACH)
 #: Odd bases of the two sequence hashes and their inverses modulo 2**64.
 BASES = (0xF1357AEA2E62A9C5, 0xAF251AF3B0F025B5)
@@ -53,7 +56,14 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nd
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     inside = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
     value = BYTES[buf[np.repeat(starts, lengths) + inside]] * WITHIN[inside % REACH]
-    return mix(np.add.reduceat(value, first) + lengths.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    if int(lengths.max()) > REACH:
+        part = np.flatnonzero(inside % REACH == 0)
+        number = inside[part] // REACH
+        value = np.add.reduceat(value, part)
+        # the first part as it is, later ones by their own hash and place
+        value = np.where(number == 0, value, mix(value + STEP) * powers(BASES[1], int(number.max()) + 1)[number])
+        first = np.flatnonzero(number == 0)
+    return mix(np.add.reduceat(value, first) + lengths.astype(np.uint64) * STEP)
 
 
 class Sequences:
@@ -68,7 +78,7 @@ class Sequences:
 
     def runs(self, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
         value = (self.sums[starts + lengths] - self.sums[starts]) * self.inverse[starts]
-        return mix(value + np.asarray(lengths).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+        return mix(value + np.asarray(lengths).astype(np.uint64) * STEP)
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:

@@ -215,3 +215,51 @@ def test_near_duplicate_stage_links_all_of_similarity(spark, seed):
     assert sum(0.8 <= x < 0.95 for x in similar) > 20
     kept = corpus_pipeline.near_duplicate_stage(spark, frame(spark, texts), "").collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(roots))
+
+
+def test_long_words_are_told_apart(spark):
+    def word(i, j):
+        letters = ["a"] * 5000
+        letters[i], letters[j] = "b", "c"
+        return "".join(letters)
+
+    tail = " ".join(f"t{i}" for i in range(34))
+    texts = [f"{word(7, 7 + 4096)} {tail}", f"{word(7 + 4096, 7)} {tail}", f"{'x' * 9000} {tail}"]
+    rows = substrings.duplicate_passages(frame(spark, texts)).collect()
+    assert [r.n_removed for r in rows] == [0, 0, 0]
+    rows = substrings.duplicate_passages(frame(spark, [*texts, texts[0]])).orderBy("id").collect()
+    assert [r.n_removed for r in rows] == [35, 0, 0, 35]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_greedy_factors_cover_all_that_repeats(seed):
+    rng = random.Random(seed)
+    block = [b" ".join(rng.choice((b"a", b"b")) for _ in range(rng.randrange(4, 40))) for _ in range(8)]
+    parsed = [rng.random() < 0.7 for _ in block]
+    split = [t.split() for t in block]
+    seen = Counter(tuple(w[i : i + 4]) for w in split for i in range(len(w) - 3))
+    want = {(p, i) for p, w in enumerate(split) for i in range(len(w) - 3) if parsed[p] and seen[tuple(w[i : i + 4])] > 1}
+    factors = list(substrings.greedy(block, 4, parsed))
+    got = [(p, i) for p, first, n in factors for i in range(first, first + n)]
+    assert len(got) == len(set(got))
+    assert set(got) == want
+    for p, first, n in factors:  # none can be longer
+        words = split[p][first : first + n + 3]
+        longer = [*words, *split[p][first + n + 3 : first + n + 4]]
+        places = [(q, j) for q, w in enumerate(split) for j in range(len(w) - len(words) + 1) if w[j : j + len(words)] == words and (q, j) != (p, first)]
+        assert places
+        assert len(longer) == len(words) or not any(split[q][j : j + len(longer)] == longer for q, j in places)
+
+
+def test_hot_anchors_are_counted(spark, monkeypatch):
+    texts = some_texts(1)
+    monkeypatch.setattr(substrings, "BLOCK_PHRASES", 2)
+    rows = substrings.duplicate_passages(frame(spark, texts)).orderBy("id").collect()
+    assert [(r.n_words, r.n_removed, r.kept_sha256) for r in rows] == brute_passages(texts, 35)
+
+
+def test_rows_that_move_are_stored_first(spark):
+    texts = some_texts(2)
+    mixed = frame(spark, texts).repartition(3).orderBy("text").repartition(5, "text")
+    rows = substrings.duplicate_passages(mixed).orderBy("id").collect()
+    assert [(r.n_words, r.n_removed, r.kept_sha256) for r in rows] == brute_passages(texts, 35)
