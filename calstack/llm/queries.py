@@ -65,7 +65,7 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.search(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    return topk.search(table(spark, sf_dir, "embeddings")).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
