@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calstack.llm.common import small_batches
+from calstack.llm.common import small_batches, stored
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to those ranks.
@@ -106,18 +107,22 @@ def write(docs: DataFrame, path: str, ranks_path: str = RANKS, width: int = WIDT
     """Tokenises, packs and writes every document under `path`, a folder that all
     executors share; a row for each packed row: its file and number, the documents
     of its segments and the token each begins at, cumulative lengths, and the digest
-    of its ids (padding, which is `end` too, left out)."""
+    of its ids (padding, which is `end` too, left out). The files are complete when
+    the frame is returned: it reads the rows again that their task stored, so acting
+    on it writes nothing. Ids are 16 bits wide if all of the vocabulary fit, else 32."""
     spark = docs.sparkSession
     small_batches(spark)
     with open(ranks_path, "rb") as f:
-        ranks = spark.sparkContext.broadcast(f.read(64 << 20))
+        merges = f.read()
+    ranks = spark.sparkContext.broadcast(merges)
+    largest = max([end, *(int(line.split()[1]) for line in merges.splitlines() if line)])
+    dtype = "<u2" if largest < 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def pack(root: str, store, name: str, ids: list, tokens: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
         parts = pieces([len(t) for t in tokens], width)
         packed = best_fit([b - a for _, a, b in parts], width)
-        dtype = "<u2" if end < 1 << 16 else "<u4"
         matrix = np.full((len(packed), width), end, dtype)
         sums, resets, digests = [], [], []
         for r, row in enumerate(packed):
@@ -170,27 +175,35 @@ def write(docs: DataFrame, path: str, ranks_path: str = RANKS, width: int = WIDT
         if ids:
             yield pack(root, store, f"part-{part:06d}-{number:04d}", ids, tokens, id_type)
 
-    return rows.mapInArrow(run, RESULT.format(kind=kind))
+    return stored(rows.mapInArrow(run, RESULT.format(kind=kind)), "packed-rows")
 
 
-def read(spark, path: str, width: int = WIDTH, wide: bool = False) -> DataFrame:
-    """(file, row_no, cu_seqlens, first_tokens, ids): the rows of the files again."""
-    small_batches(spark, 1)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
-    name = F.regexp_extract("path", r"([^/]+)\.(ids|cu|resets)\.bin$", 1)
-    which = F.regexp_extract("path", r"([^/]+)\.(ids|cu|resets)\.bin$", 2)
-    shards = files.groupBy(name.alias("file")).agg(*(F.max(F.when(which == w, F.col("content"))).alias(w) for w in ("ids", "cu", "resets")))
+READ = pa.schema([("file", pa.string()), ("row_no", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())), ("first_tokens", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))])
+
+
+def read(spark, path: str, width: int = WIDTH) -> DataFrame:
+    """(file, row_no, cu_seqlens, first_tokens, ids): the rows of the files again, which
+    tasks open by themselves."""
+    small_batches(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids.bin").load(path).select("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            for file, ids, cu, resets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                matrix = np.frombuffer(ids, "<u4" if wide else "<u2").reshape(-1, width)
+            for name in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+                own = at.removesuffix(".ids.bin")
+                ids, cu, resets = (store.open_input_file(f"{own}.{part}.bin").read() for part in ("ids", "cu", "resets"))
                 flat, starts, at = np.frombuffer(cu, "<i4"), np.frombuffer(resets, "<i4").reshape(-1, 3), 0
+                n = int(starts[-1, 0]) + 1
+                matrix = np.frombuffer(ids, "<u2" if len(ids) == 2 * n * width else "<u4").reshape(n, width)
+                bounds = np.searchsorted(starts[:, 0], np.arange(n + 1))
                 out = []
-                for r in range(len(matrix)):
+                for r in range(n):
                     sums = flat[at + 1 : at + 1 + flat[at]]
                     at += 1 + flat[at]
-                    out.append({"file": file, "row_no": r, "cu_seqlens": sums.tolist(), "first_tokens": starts[starts[:, 0] == r, 2].tolist(), "ids": matrix[r, : sums[-1]].tolist()})
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("file", pa.string()), ("row_no", pa.int32()), ("cu_seqlens", pa.list_(pa.int32())), ("first_tokens", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))]))
+                    out.append({"file": own.rsplit("/", 1)[-1], "row_no": r, "cu_seqlens": sums.tolist(), "first_tokens": starts[bounds[r] : bounds[r + 1], 2].tolist(), "ids": matrix[r, : sums[-1]].tolist()})
+                yield pa.RecordBatch.from_pylist(out, schema=READ)
 
-    return shards.mapInArrow(run, "file string, row_no int, cu_seqlens array<int>, first_tokens array<int>, ids array<int>")
+    return files.mapInArrow(run, "file string, row_no int, cu_seqlens array<int>, first_tokens array<int>, ids array<int>")

@@ -203,6 +203,7 @@ def test_packed_files_hold_every_document(spark, tmp_path):
     path = f"file://{tmp_path}/p"
     rows = packing.write(docs, path, width=64, shard_tokens=500).collect()
     read = {(r.file, r.row_no): r for r in packing.read(spark, path, width=64).collect()}
+    assert len(read) == len(rows)
     parts: dict = {}
     for r in rows:
         back = read[r.file, r.row_no]
@@ -218,7 +219,7 @@ def test_packed_files_hold_every_document(spark, tmp_path):
 
 
 def brute_topk(rows, k, scale):
-    usable = [(i, [int(np.floor(scale * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    usable = [(i, [int(np.floor(scale * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for i, v in usable:
         if i % 50 == 0:
@@ -231,23 +232,33 @@ def brute_topk(rows, k, scale):
 def test_topk(spark, query_rows):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=6).astype(np.float32)]) for i in range(300)]
-    rows += [(1000, rows[7][1]), (1001, rows[7][1]), (1050, None), (1100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1150, [float("nan")] * 6), (None, rows[3][1]), (1200, [1.0, 2.0]), (1201, [3.0, 4.0]), (1250, [])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows += [(1000, rows[7][1]), (1001, rows[7][1]), (1050, None), (1100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1150, [float("nan")] * 6), (None, rows[3][1]), (1200, [1.0, 2.0]), (1201, [3.0, 4.0]), (1250, []), (1251, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("query", F.lit(1)).withColumn("id", F.lit(2))
     got = topk.search(frame, query_rows=query_rows).collect()
     assert sorted((r.query_id, r["rank"], r.id, r.score) for r in got) == brute_topk(rows, 5, 256)
     assert topk.search(frame.limit(0)).count() == 0
 
 
-def test_bounds_never_lose_a_score():
-    rng = np.random.default_rng(1)
-    v, q = np.floor(rng.normal(size=(500, 16)) * 256), np.floor(rng.normal(size=(20, 16)) * 256)
-    lists = topk.Lists(np.arange(500), v)
-    for depth in (1, 50, 250, 499, 500):
-        lower, upper = lists.bounds(depth, np.maximum(q, 0), np.minimum(q, 0))
-        assert (lower <= q @ v.T).all()
-        assert (upper >= q @ v.T).all()
-    found = dict(lists.search(np.full(20, -1), q, 5))
-    assert all([s for s, _ in found[i]] == sorted((q[i] @ v.T).tolist(), reverse=True)[:5] for i in range(20))
+def test_huge_scores_are_ranked(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [2e30, 0.0]), (3, [-1e30, 0.0]), (4, [-2e30, 5.0]), (5, [0.0, 3.0]), (6, [0.0, 4.0])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=6).orderBy("rank").collect()
+    assert [r.id for r in got] == [2, 1, 6, 5, 3, 4]
+    assert [r.score for r in got] == [None, None, 4 << 16, 3 << 16, None, None]
+    numbers = [0, 1, -1, 9, -9, 10, -10, 10**40, -(10**40), 10**40 + 1, 99, -99, -100]
+    assert sorted(numbers, key=topk.ordered) == sorted(numbers)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_lists_are_read_no_further_than_needed(seed):
+    rng = np.random.default_rng(seed)
+    v, q = np.floor(rng.normal(size=(900, 3 + seed)) * 256), np.floor(rng.normal(size=(20, 3 + seed)) * 256)
+    v[5:9] = v[4]
+    found = {i: (depth, best) for i, depth, best in topk.Lists(np.arange(900), v).search(np.full(20, -1), q, 5)}
+    for i in range(20):
+        scores = q[i] @ v.T
+        assert found[i][1] == sorted(((int(s), j) for j, s in enumerate(scores)), key=lambda x: (-x[0], x[1]))[:5]
+    if seed == 0:  # three lists: most queries stop early
+        assert min(depth for depth, _ in found.values()) < 1
 
 
 @pytest.fixture(scope="module")
