@@ -3,11 +3,12 @@
 Texts become hashed counts of their bytes' 1- to 3-grams (lower-cased, square
 roots, unit length). A first set of one-versus-one linear support vector machines
 votes on the language family, a second set on the language within it. The models
-are fitted on a bounded sample of labelled rows, those of smallest key hash in each
-language, so the sample does not depend on the order or place of rows.
+are fitted on a bounded sample of labelled rows, those of smallest hash of id and
+text in each language, so the sample does not depend on the order or place of rows.
 
 Null text and text without a letter: `und`, score 0. Labels null: not learned
-from. No labelled row at all: every text is `und`. One language in a family, or
+from; nor are texts without a letter. Rows that repeat id and text count once in the
+sample. No labelled row at all: every text is `und`. One language in a family, or
 one family: that one is taken. Ties go to the first in order of name. Null ids are
 kept. Only the id, text and language columns are read.
 """
@@ -143,26 +144,28 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The sample is found on ids and labels alone; only its texts are then read."""
+    """The sample is of distinct (language, id, text) with a letter in the text: in
+    each language those of smallest hash, found on hashes alone; only its texts are
+    then read, and rows that repeat one of them are dropped where they are."""
     small_batches(docs.sparkSession)
-    labelled = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    keys = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    counts = keys.groupBy("lang").count().collect()
+    text = F.col(text_col).cast("string")
+    labelled = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col) & text.rlike(r"\p{L}"))
+    texts = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
+    rows = texts.withColumn("t", F.xxhash64("text")).withColumn("h", F.xxhash64("id", "t"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
     each = max(LEAST_ROWS, sample_rows // max(1, len(counts)))
-    # keys are hashed evenly: so small a hash leaves about twice the rows wanted, wherever they are
-    limits = [(r["lang"], int(-(2**63) + min(1.0, 2 * each / r["count"]) * (2**64 - 2048))) for r in counts]
-    few = keys.join(F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, most long")), "lang").where("h <= most")
-    ranked = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= each)
-    chosen = ranked.select("id", "lang").distinct()
-    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), ["id", "lang"]).select(F.col("id").cast("string").alias("id"), "lang", "text", F.xxhash64("text").alias("h"))
+    # hashes are spread evenly: so small a one leaves about twice the rows wanted, wherever they are
+    limits = [(r["lang"], int(-(2**63) + min(1.0, 2 * each / r["n"]) * (2**64 - 2048))) for r in counts]
+    few = rows.join(F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, most long")), "lang").where("h <= most")
+    ranked = few.select("lang", "h", "id").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= each)
+    chosen = rows.join(F.broadcast(ranked.select("lang", "h", "id")), ["lang", "h", "id"]).groupBy("lang", "id", "h").agg(F.min("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [features(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([a for a, _ in made], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in made], pa.list_(pa.float32()))], ["id", "lang", "h", "at", "value"])
 
-    few_tasks = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    few_tasks = chosen.select("id", "lang", "text", "h").repartition(docs.sparkSession.sparkContext.defaultParallelism)
     found = few_tasks.mapInArrow(vectors, "id string, lang string, h long, at array<int>, value array<float>").toArrow()
     sample = found.sort_by([("lang", "ascending"), ("id", "ascending"), ("h", "ascending")]).combine_chunks()
     if not sample.num_rows:
