@@ -32,7 +32,7 @@ DAYS_LEFT, DAYS_RIGHT = 17, 4297
 HINT = "[0-9@=:]|AKIA"
 #: Formats: name, pattern, and what may not stand before or after it.
 FORMATS = [
-    ("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+", r"(?<![A-Za-z0-9._%+-])", ""),
+    ("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"(?<![A-Za-z0-9._%+-])", ""),
     ("card", r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5}|\d{13,19}", r"(?<![\w+.-])", r"(?![\w-])"),
     ("phone", r"(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|(?:\+1[ .-]?)?\d{3}[ .-]\d{3}[ .-]\d{4}|\+1\d{10}", r"(?<![\w+.-])", r"(?![\w-])"),
     ("ssn", r"\d{3}-\d{2}-\d{4}", r"(?<![\w+.-])", r"(?![\w-])"),
@@ -155,9 +155,12 @@ def spelled(value: str, base: int, tweak: str, key: str) -> str:
 
 
 def email(key: str) -> str:
+    """The name before the @, by blocks of 64 characters, which no valid one exceeds."""
+    name = let(spelled("e", 36, "email", key), "c", filled("b", "[0-9A-Za-z]", "c"))
+    block = let("regexp_replace(lower(b), '[^0-9a-z]', '')", "e", f"if(e = '', b, {name})")
     local = "substring_index(m, '@', 1)"
-    whole = f"concat({filled(local, '[0-9A-Za-z]', 'c')}, substr(m, instr(m, '@')))"
-    return let(f"regexp_replace(lower({local}), '[^0-9a-z]', '')", "e", f"if(e = '', m, {let(spelled('e', 36, 'email', key), 'c', whole)})")
+    blocks = f"transform(sequence(0, CAST((length({local}) - 1) div 64 AS INT)), y -> {let(f'substr({local}, y * 64 + 1, 64)', 'b', block)})"
+    return f"concat(array_join({blocks}, ''), substr(m, instr(m, '@')))"
 
 
 def secret(key: str) -> str:
@@ -190,8 +193,10 @@ def pseudonym(key: str) -> str:
 
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", into: str = "__text", kinds: str = "__kinds") -> DataFrame:
-    """`docs` with two columns more: the text with its pseudonyms, and the formats
-    found, one for each value replaced."""
+    """`docs` with two columns more at its end: the text with its pseudonyms, and the
+    formats found, one for each value replaced; their names get underscores until no
+    column of `docs` has them. The key stands as a literal in the plan."""
+    into, kinds = fresh(docs, into), fresh(docs, kinds)
     own = F.col(text_col).cast("string")
     found, values = fresh(docs, "__found"), fresh(docs, "__values")
     candidates = F.regexp_extract_all(own, F.lit(pattern()), F.lit(0))
