@@ -8,6 +8,8 @@ import tempfile
 import uuid
 import weakref
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch sent to Python: small, as one text may be long.
 BATCH_ROWS = 256
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _OWN_FOLDER: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -24,10 +27,12 @@ _PATHS: dict[int, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir;
-    a temporary folder of this machine only where that is unset, as in tests."""
+    a temporary folder of this machine only where that is unset and Spark is local."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN_FOLDER:
         _OWN_FOLDER[key] = "file://" + tempfile.mkdtemp(prefix="calstack-")
@@ -90,11 +95,24 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(str(at))
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch of texts holds, in the JVM and in Python; called
-    before any Python runs on the executors."""
+    before any Python runs on the executors. Frames read the setting when they are
+    acted on, so all operators share this one value and it stays for the session."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Another number of rows in a batch, for the actions inside; restored after them."""
+    ship(spark)
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_SETTING) if before is None else spark.conf.set(BATCH_SETTING, before)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -105,10 +123,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether `df` only selects from stored files, so that its rows come in the same
+    order and partitions each time that it is computed."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() == "Project":
+        node = node.child()
+    return node.nodeName() in ("LogicalRelation", "DataSourceV2ScanRelation") or node.nodeName().startswith("Relation")
+
+
 def with_row(df: DataFrame, name: str) -> DataFrame:
-    """Adds a row number that is unique and the same each time a stored table is
-    read, whatever ids the rows carry. How files are cut into partitions must not
-    follow the number of executors that happen to be alive, so it is fixed here."""
+    """Adds a row number that is unique and the same each time the table is read,
+    whatever ids the rows carry; what is not a plain scan of files is stored first.
+    How files are cut into partitions must not follow the number of executors that
+    happen to be alive, so it is fixed here."""
+    if not is_scan(df):
+        df = stored(df, "rows")
     conf, least = df.sparkSession.conf, "spark.sql.files.minPartitionNum"
     if conf.get(least, None) is None:
         conf.set(least, str(df.sparkSession.sparkContext.defaultParallelism))

@@ -272,7 +272,7 @@ class Codec:
 def load(model_path: str, theta: float = THETA) -> Codec:
     """Read on the driver; the executors get the tables (a few tens of MB at most)."""
     with open(model_path, "rb") as f:
-        return Codec(f.read(64 << 20), theta)
+        return Codec(f.read(), theta)
 
 
 def seeded(docs: DataFrame, id_col: str, text_col: str, seed: int, key_col: str | None = None) -> DataFrame:
