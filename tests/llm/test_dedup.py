@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from calstack.llm import decontaminate, simhash, substrings
 
@@ -263,3 +264,37 @@ def test_rows_that_move_are_stored_first(spark):
     mixed = frame(spark, texts).repartition(3).orderBy("text").repartition(5, "text")
     rows = substrings.duplicate_passages(mixed).orderBy("id").collect()
     assert [(r.n_words, r.n_removed, r.kept_sha256) for r in rows] == brute_passages(texts, 35)
+
+
+def test_search_tables_are_small():
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(300_000)]
+    items = [(str(i), " ".join(words[i * 100 : i * 100 + 100]).encode()) for i in range(3000)]
+    made = decontaminate.tables(items, 10)
+    size = sum(len(t) for _, t in items)
+    assert sum(x.nbytes for x in made.values()) < 9 * size
+    docs = [b"x y " + items[7][1][:200], b"nothing here at all that is in any of them"]
+    found = list(decontaminate.Searcher(made).occurrences(decontaminate.Words(docs)))
+    assert {(t, n) for t, _, _, names in found for n in names} == {(0, "7")}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_occurrences_are_all_found(seed):
+    rng = random.Random(seed)
+    vocabulary = ["a", "b", "c"][: rng.randrange(1, 4)] + ["Ü"] * (seed % 2)
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(60))) for _ in range(6)]
+    items = [(i, ". ".join(rng.choice(vocabulary) for _ in range(rng.randrange(12)))) for i in range(5)]
+    made = decontaminate.tables([(str(i), t.encode()) for i, t in items], 4)
+    hits, names = [set() for _ in texts], [set() for _ in texts]
+    for text, first, m, found in decontaminate.Searcher(made).occurrences(decontaminate.Words([t.encode() for t in texts])):
+        hits[text].update(range(first, first + m))
+        names[text].update(found)
+    assert [(sorted(a), sorted(b)) for a, b in zip(hits, names, strict=True)] == [(h, i) for _, h, i in brute_contamination(texts, items, 4)]
+
+
+def test_contamination_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "x", "y", "z"), (1, "a b c d", "x", "y", "z"), (None, "q", "x", "y", "z")], "doc_id long, text string, hits string, items string, n_words string")
+    benchmark = spark.createDataFrame([(5, "b c"), (None, "c d")], "item_id long, text string").withColumn("item", F.lit(1))
+    made = decontaminate.marked(docs, benchmark)
+    assert made.columns == [*docs.columns, "n_words_", "hits_", "items_"]
+    assert sorted((r.doc_id or 0, r.n_words_, r.hits_, r.items_) for r in made.collect()) == [(0, 1, [], []), (1, 4, [1, 2, 3], ["5"]), (1, 4, [1, 2, 3], ["5"])]
