@@ -5,6 +5,8 @@ import hashlib
 import random
 import re
 
+import hypothesis
+import hypothesis.strategies as st
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -131,7 +133,18 @@ def test_salvage_finds_all_that_is_whole(seed):
         ("<a title='x>y'>l</a></b></p>", "l"),
         ("<dl><dt>a<dd>b</dl>", "a\n  b"),
         ("x<hr>y", "x\n\n---\n\ny"),
-        ("<select><option>o</select><textarea>t</textarea>v", "v"),
+        ("<select><option>o</select><textarea>t\n u</textarea>v", "o\nt\n u\nv"),
+        ("<ol start='--5'><li>a</ol>", "1. a"),
+        (f"<ol start={'9' * 5000}><li value={'8' * 5000}>a<li value=-3>b</ol><table><tr><td colspan={'7' * 5000} rowspan=x>c</table>&#{'1' * 5000};", "1. a\n-3. b\n\nc\n\n\ufffd"),
+        ("<head><title>t</title><p>hello", "hello"),
+        ("<head>loose<title>t</title>", "loose"),
+        ("a<!-->b<!--->c<!-- d --!>e", "abce"),
+        ("<div style='visibility:hidden'>a<b style='VISIBILITY: visible !important'>b</b></div>", "b"),
+        ("<p style='x-display:none'>a<p style='/* display:none */'>b<p style='display:block;display:none'>c", "a\n\nb"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+        ("<table><tr><td>a<td rowspan=0>b<tr><td>c<td>d<tr><td>e<td>f</table>", "a | b\nc |   | d\ne |   | f"),
+        ("<table><tr><td colspan=1000>wide one<td>x<tr><td>a<td>b</table>", "wide one | x\na | b"),
+        ("<table><tr><td>a<td>b<tr><td colspan=2>both<td>c</table>", "a | b\nboth  | c"),
         ("<b>unclosed <i>tags", "unclosed tags"),
     ],
 )
@@ -140,10 +153,66 @@ def test_text_of_pages(page, text):
 
 
 def test_pages_of_any_kind_render(spark):
-    odd = ["<div>" * 5000 + "deep", "<table><tr><td>" * 300 + "x", "<" * 1000, "<li>" * 2000, "<p " + "a='" * 500, "</table></td>x", "<script>never closed"]
+    odd = ["<div>" * 100_000 + "deep", "<table><tr><td>" * 3000 + "x", "<div>" * 300 + "<script>s</script><p hidden>h</p>v", "<ul><li>" * 20_000 + "x", "<p><button>" + "<div>" * 30_000 + "x", "<" * 1000, "<li>" * 2000, "<p " + "a='" * 500, "</table></td>x", "<script>never closed"]
     rows = markup.rendered(spark.createDataFrame([(i, h) for i, h in enumerate([*odd, None])], "page_id long, html string")).collect()
     assert len(rows) == len(odd) + 1
-    assert rows[0].text == "deep"
+    text = {r.id: r.text for r in rows}
+    assert [text[i] for i in (0, 1, 2)] == ["deep", "x", "v"]
+    assert text[3].endswith("- x")
+    assert text[4] == "x"
+    assert text[len(odd)] is None
+    again = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (None, "b")], "page_id long, html string").withColumn("id", F.lit(1)).withColumn("text", F.lit("t"))
+    assert sorted((r.id or 0, r.text) for r in markup.rendered(again).collect()) == [(0, "b"), (1, "a"), (1, "a")]
+    assert markup.rendered(again.limit(0)).count() == 0
+
+
+def test_padding_stays_in_proportion():
+    page = "<table><tr><td>" + "x" * 100_000 + "<td>y" + "<tr><td>a<td>b" * 2000 + "</table>"
+    text = markup.text_of(page)
+    assert len(text) < 2 * len(page)
+    assert text.endswith("\na | b")
+
+
+@hypothesis.given(st.lists(st.sampled_from(["<table", "<td", "<tr", "</tr>", "</td>", "<ol", "<li", "<p", "<head", "<body", "<select", "<option", "<textarea", "</textarea>", "<pre", "<div", "</div>", " colspan=", " rowspan=", " value=", " start=", " style=", " hidden", "'", '"', ">", ">", ">", "=", "/", "<!--", "-->", "<![", "&#", "&", ";", "0", "-", "99999999999", "display:none", "visibility:visible", "word", " ", "\n", "é", "\ud800"]), max_size=60))
+@hypothesis.settings(max_examples=400)
+def test_any_page_renders(parts):
+    assert isinstance(markup.text_of("".join(parts)), str)
+
+
+def model(rng, depth=0):
+    """(page, lines) of random markup, the lines made without any parsing; None in
+    them stands for a blank line around what is spaced."""
+    kind = rng.choice(("p", "p", "div", "ul", "ol", "table", "pre", "gone", "h2") if depth < 3 else ("p", "h2"))
+    words = " ".join(f"w{rng.randrange(1000)}" for _ in range(rng.randrange(1, 5)))
+    if kind in ("p", "h2"):
+        return f"<{kind}>{words.replace(' ', rng.choice((' ', '  ', chr(10))))}" + (f"</{kind}>" if kind == "h2" or rng.random() < 0.5 else ""), [None, words, None]
+    if kind == "div":
+        inner = [model(rng, depth + 1) for _ in range(rng.randrange(1, 4))]
+        return f"<div>{''.join(h for h, _ in inner)}</div>", [x for _, lines in inner for x in lines]
+    if kind in ("ul", "ol"):
+        items = [f"w{rng.randrange(1000)}" for _ in range(rng.randrange(1, 4))]
+        marks = [f"{i}. " if kind == "ol" else "- " for i in range(1, 9)]
+        return f"<{kind}>{''.join(f'<li>{x}' for x in items)}</{kind}>", [None, *(m + x for m, x in zip(marks, items, strict=False)), None]
+    if kind == "table":
+        cells = [[f"{'c' * rng.randrange(1, 9)}" for _ in range(3)] for _ in range(rng.randrange(1, 4))]
+        wide = [max(len(r[i]) for r in cells) for i in range(3)]
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in cells) + "</table>", [None, *(" | ".join(c.ljust(w) for c, w in zip(r, wide, strict=True)).rstrip() for r in cells), None]
+    if kind == "pre":
+        return "<pre>a\n   b</pre>", [None, "a", "   b", None]
+    return rng.choice(("<script>no</script>", "<div hidden>no</div>", "<p style='display:none'>no</p>", "<!-- no -->")), []
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_pages_against_their_model(seed):
+    rng = random.Random(seed)
+    parts = [model(rng) for _ in range(6)]
+    lines: list = []
+    for x in (x for _, own in parts for x in own):
+        if x is not None or (lines and lines[-1] is not None):
+            lines.append(x)
+    while lines and lines[-1] is None:
+        lines.pop()
+    assert markup.text_of("".join(h for h, _ in parts)) == "\n".join(x or "" for x in lines)
 
 
 @pytest.mark.parametrize(
