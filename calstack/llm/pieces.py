@@ -33,8 +33,12 @@ THETA = 0.0005
 SPACE, LITERAL = 0x2581, 0x110000
 #: Ids from here on stand for a character written as its UTF-8 bytes.
 SPELLED = 1 << 20
-#: Characters of text in one vectorised pass; longest segment that it takes.
+#: Characters of text in one vectorised pass; longest segment whose equals are sought.
 CHUNK, LONGEST = 1 << 19, 40
+#: Places (character and piece length) of a lattice, and positions looked up at once.
+CELLS, BLOCK = 1 << 21, 1 << 15
+#: Fills segments up to the longest of their lattice; no piece has it.
+FILL = LITERAL + 1
 
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
@@ -147,39 +151,68 @@ class Codec:
     def draw(seeds: np.ndarray, place: np.ndarray) -> np.ndarray:
         return (mix(seeds ^ mix(place.astype(np.uint64) + STEP)) >> U(11)).astype(np.float64) * 2.0**-53
 
+    def ways(self, chars: np.ndarray, forward: np.ndarray, j: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lengths, ids, weights of all that leads there) of the pieces that end at j;
+        ids: the pieces of each length that do."""
+        m = np.flatnonzero(ids >= 0) + 1
+        piece, weight = ids[m - 1], self.weight[ids[m - 1]]
+        if ids[0] < 0:
+            c = int(chars[j - 1])
+            m, piece, weight = np.append(1, m), np.append(SPELLED + (SPACE if c == LITERAL else c), piece), np.append(self.unknown, weight)
+        return m, piece, weight + forward[j - m]
+
+    def ends(self, chars: np.ndarray, first: int, stop: int) -> np.ndarray:
+        """The piece of each length that ends at each position from `first` to `stop`."""
+        ids = np.full((stop - first + 1, self.reach), -1, np.int32)
+        begin = max(0, first - self.reach)
+        value = self.values(chars[begin:stop])
+        h = np.zeros(len(value), np.uint64)
+        for m in range(1, min(self.reach, len(value)) + 1):
+            h = h[: len(value) - m + 1] * U(GROW) + value[m - 1 :]
+            end = begin + m + np.arange(len(h))
+            own = end >= first
+            ids[end[own] - first, m - 1] = self.lookup(h[own])
+        return ids
+
     def long_segment(self, chars: np.ndarray, seed: int, first: int) -> list[tuple[int, int]]:
-        """(start, id) of a sampled path through one segment of any length."""
-        n, forward, arcs = len(chars), [0.0], [[]]
-        by_start = np.full((self.reach, n), -1, np.int32)
-        value = self.values(chars)
-        h = np.zeros(n, np.uint64)
-        for m in range(1, min(self.reach, n) + 1):
-            h = h[: n - m + 1] * U(GROW) + value[m - 1 :]
-            by_start[m - 1, : n - m + 1] = self.lookup(h)
-        for j in range(1, n + 1):
-            ways = []
-            for m in range(1, min(self.reach, j) + 1):
-                piece = int(by_start[m - 1, j - m])
-                if piece >= 0:
-                    ways.append((forward[j - m] + float(self.weight[piece]), m, piece))
-                elif m == 1:
-                    c = int(chars[j - 1])
-                    ways.append((forward[j - 1] + self.unknown, 1, SPELLED + (SPACE if c == LITERAL else c)))
-            top = max(w for w, _, _ in ways)
-            total, summed = 0.0, []
-            for w, m, piece in ways:
-                total += math.exp(w - top)
-                summed.append((total, m, piece))
-            forward.append(top + math.log(total))
-            arcs.append([(t / total, m, piece) for t, m, piece in summed])
-        path, at = [], n
-        chances = self.draw(np.full(n + 1, seed, np.uint64), np.arange(first, first + n + 1))
+        """(start, id) of a sampled path through one segment of any length, of which only
+        the forward weights are held."""
+        n = len(chars)
+        forward = np.zeros(n + 1)
+        for begin in range(1, n + 1, BLOCK):
+            stop = min(n, begin + BLOCK - 1)
+            ids = self.ends(chars, begin, stop)
+            for j in range(begin, stop + 1):
+                _, _, weights = self.ways(chars, forward, j, ids[j - begin])
+                top = weights.max()
+                forward[j] = top + math.log(np.exp(weights - top).sum())
+        path, at, low, ids = [], n, n + 1, None
         while at:
-            _, m, piece = next((x for x in arcs[at] if x[0] > chances[at]), arcs[at][-1])
-            at -= m
-            path.append((at, piece))
+            if at < low:
+                low = max(1, at - BLOCK + 1)
+                ids = self.ends(chars, low, at)
+            m, piece, weights = self.ways(chars, forward, at, ids[at - low])
+            total = np.cumsum(np.exp(weights - weights.max()))
+            chance = float(self.draw(np.array([seed], np.uint64), np.array([first + at]))[0])
+            k = min(int(np.searchsorted(total / total[-1], chance, "right")), len(m) - 1)
+            at -= int(m[k])
+            path.append((at, int(piece[k])))
         return path
 
+    def walk(self, found: np.ndarray, ids: np.ndarray, chance: np.ndarray, occ: np.ndarray, word: np.ndarray, here: np.ndarray, places: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Draws a path back from `here` for each segment `occ`, whose lattice is `word`."""
+        starts, base, seed = places
+        while len(occ):
+            begin = starts[occ]
+            r = self.draw(seed[occ], begin + here - base[occ])
+            step = np.zeros(len(occ), np.int64)
+            for m in range(chance.shape[1] - 1):
+                step += chance[here, m, word] <= r
+            found[begin + here - step - 1] = ids[here, step, word]
+            here = here - step - 1
+            more = here > 0
+            occ, word, here = occ[more], word[more], here[more]
+
     def encode(self, texts: list[str | None], seeds: np.ndarray) -> list[np.ndarray | None]:
         """Sampled piece ids of each text."""
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -229,24 +262,27 @@ class Codec:
             end = min(int(np.searchsorted(size, length, "right")), at + max(1, (1 << 20) // (length * min(length, self.reach))))
             ids, chance = self.lattice(chars[starts[first[at:end]][:, None] + np.arange(length)])
             occ = order[group_at[at] : group_at[end]]
-            word = group[group_at[at] : group_at[end]] - at
-            here = np.full(len(occ), length)
-            while len(occ):
-                begin = starts[occ]
-                r = self.draw(seed[occ], begin + here - base[occ])
-                step = np.zeros(len(occ), np.int64)
-                for m in range(chance.shape[1] - 1):
-                    step += chance[here, m, word] <= r
-                found[begin + here - step - 1] = ids[here, step, word]
-                here = here - step - 1
-                more = here > 0
-                occ, word, here = occ[more], word[more], here[more]
+            self.walk(found, ids, chance, occ, group[group_at[at] : group_at[end]] - at, np.full(len(occ), length), (starts, base, seed))
             at = end
-        for k in np.concatenate((apart, order[group_at[at] :])).tolist():
-            a, n = int(starts[k]), int(lengths[k])
-            found[a : a + n] = -1
-            for start, piece in self.long_segment(chars[a : a + n], int(seed[k]), a - int(base[k])):
-                found[a + start] = piece
+        rest = np.concatenate((apart, order[group_at[at] :]))
+        rest = rest[np.argsort(lengths[rest], kind="stable")]
+        at = 0
+        while at < len(rest):  # segments of about one length share a lattice
+            cells = np.arange(1, len(rest) - at + 1) * lengths[rest[at:]] * self.reach
+            own = rest[at : at + max(1, int(np.searchsorted(cells, CELLS, "right")))]
+            longest, at = int(lengths[own[-1]]), at + len(own)
+            for k in own.tolist():
+                found[starts[k] : starts[k] + lengths[k]] = -1
+            if longest * self.reach > CELLS:
+                (k,) = own.tolist()
+                a, n = int(starts[k]), int(lengths[k])
+                for start, piece in self.long_segment(chars[a : a + n], int(seed[k]), a - int(base[k])):
+                    found[a + start] = piece
+                continue
+            inside = np.arange(longest)
+            part = np.where(inside < lengths[own][:, None], chars[np.minimum(starts[own][:, None] + inside, len(chars) - 1)], FILL)
+            ids, chance = self.lattice(part)
+            self.walk(found, ids, chance, own, np.arange(len(own)), lengths[own], (starts, base, seed))
         place = np.flatnonzero(found >= 0)
         ids = found[place]
         bounds = np.searchsorted(place, offsets)

@@ -9,12 +9,16 @@ same files.
 The reader checks member checksums, headers, lengths and digests. Where a check
 fails it looks for the next gzip member or version line that begins a valid record,
 goes on there, and reports the bytes between as a gap with its reason. Within a
-member of several records it does the same over what unpacked, also before damage;
-a record that fills its damaged member alone goes with it.
+member it does the same over what unpacked, also before damage; a record that fills
+its damaged member alone goes with it. Archives, members and records may be of any
+size: tasks open the files and unpack them step by step, holding one record at a time.
+A payload of 2 GiB or more, which no column can hold, is read as null, its length and
+digest as they are; a header of 1 GiB or more is a gap.
 
 Null payload: empty. Null id: stored as a response of its own, id null when read.
-Null target: empty. Rows that share the largest id: all are responses. Empty table:
-no files, no rows. Only the three named columns are read.
+Null target: empty. Rows that share the largest id: all are responses. Rows that
+repeat id and payload: a record each. Empty table: no files, no rows. Only the three
+named columns are read.
 """
 
 from __future__ import annotations
@@ -32,17 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calstack.llm.common import small_batches, stored
+from calstack.llm.common import batches_of, small_batches, stored
 
 #: Payload bytes after which a writer starts another file.
 FILE_BYTES = 32 << 20
-#: A member that unpacks to more than this is quarantined.
-RECORD_BYTES = 1 << 30
+#: Longest header. A record longer than LARGE is looked for whole before it is held.
+HEADER_BYTES, LARGE = 1 << 30, 16 << 20
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
 MARK = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
-#: Archives larger than this are read bit by bit by their task instead of as one value.
-LARGE_BYTES, READ_BYTES = 256 << 20, 1 << 20
+READ_BYTES, COLUMN_BYTES = 1 << 20, (1 << 31) - (1 << 16)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -65,9 +68,10 @@ class Gap(NamedTuple):
 
 
 def headers(block: bytes) -> dict[str, str]:
-    """Header lines after the first, by lower-case name."""
+    """Header lines after the first, by lower-case name; a line that begins with a
+    blank goes on with the one before."""
     out: dict[str, str] = {}
-    for line in block.split(b"\r\n")[1:]:
+    for line in re.sub(rb"\r\n[ \t]+", b" ", block).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("malformed header")
@@ -109,51 +113,71 @@ class Source:
             at = 0
         return self.held[at : at + length]
 
-    def mark(self, at: int) -> int:
-        """Where a gzip member or a version line may begin, from `at` on; or the end."""
-        while at < self.size:
-            part = self.read(at, READ_BYTES)
-            if found := MARK.search(part):
+    def reaches(self, stop: int) -> bool:
+        return stop <= self.size
+
+    def find(self, pattern: re.Pattern, at: int) -> int | None:
+        """Where the pattern is next found, from `at` on."""
+        while part := self.read(at, READ_BYTES):
+            if found := pattern.search(part):
                 return at + found.start()
-            if at + len(part) >= self.size:
-                break
+            if len(part) < 17:
+                return None
             at += len(part) - 16
-        return self.size
+        return None
+
 
+class Member(Source):
+    """What the gzip member at a place of a source unpacks to, as it is needed; `damage`
+    is None unless it is cut or its checksum does not hold, `end` where it ends."""
 
-def inflate(source: Source, at: int) -> tuple[bytes, int, str | None]:
-    """(content, end, damage) of the gzip member at `at`; damage is None if its
-    checksum holds, else what is wrong with it, and content what unpacked before."""
-    machine, out, size, pos, step = zlib.decompressobj(31), [], 0, at, 4096
-    while not machine.eof:
-        data, step = source.read(pos, step), 65536
+    def __init__(self, source: Source, at: int) -> None:
+        self.source, self.at, self.end = source, at, at
+        self.machine, self.damage = zlib.decompressobj(31), None
+        self.first, self.held = 0, bytearray()
+
+    def more(self) -> bool:
+        if self.damage or self.machine.eof:
+            return False
+        data = self.source.read(self.end, 4096 if self.end == self.at else 65536)
         if not data:
-            return b"".join(out), pos, "truncated member"
+            self.damage = "truncated member"
+            return False
+        before = self.machine.copy()
         try:
-            out.append(machine.decompress(data, RECORD_BYTES))
+            self.held += self.machine.decompress(data)
         except zlib.error:
-            out += unpacked(source, at, pos, data)
-            return b"".join(out), pos, "member does not unpack"
-        size += len(out[-1])
-        if size >= RECORD_BYTES:
-            return b"".join(out), pos, "member too large"
-        pos += len(data)
-    return b"".join(out), pos - len(machine.unused_data), None
-
-
-def unpacked(source: Source, at: int, stop: int, data: bytes) -> list[bytes]:
-    """What unpacks of `data`, which fails, after the bytes from `at` to `stop`."""
-    machine, pos, out = zlib.decompressobj(31), at, []
-    while pos < stop:
-        part = source.read(pos, min(65536, stop - pos))
-        machine.decompress(part, RECORD_BYTES)
-        pos += len(part)
-    try:
-        for i in range(len(data)):
-            out.append(machine.decompress(data[i : i + 1], RECORD_BYTES))
-    except zlib.error:
-        pass
-    return out
+            self.damage = "member does not unpack"
+            try:  # what unpacks of the data before the damage
+                for i in range(len(data)):
+                    self.held += before.decompress(data[i : i + 1])
+            except zlib.error:
+                pass
+            return True
+        self.end += len(data) - len(self.machine.unused_data)
+        return True
+
+    def read(self, start: int, length: int) -> bytes:
+        while self.first + len(self.held) < start + length and self.more():
+            pass
+        return bytes(self.held[start - self.first : start - self.first + length])
+
+    def reaches(self, stop: int) -> bool:
+        """Whether it is so long, without holding it."""
+        size, at = self.first + len(self.held), self.end
+        if size >= stop or self.damage or self.machine.eof:
+            return size >= stop
+        machine = self.machine.copy()
+        try:
+            while size < stop and not machine.eof and (data := self.source.read(at, 65536)):
+                size, at = size + len(machine.decompress(data)), at + len(data)
+        except zlib.error:
+            pass
+        return size >= stop
+
+    def drop(self, before: int) -> None:
+        del self.held[: before - self.first]
+        self.first = before
 
 
 def parse(source: Source, at: int) -> tuple[dict[str, str], dict[str, str], bytes, int]:
@@ -162,17 +186,17 @@ def parse(source: Source, at: int) -> tuple[dict[str, str], dict[str, str], byte
     if not VERSION.match(head):
         raise ValueError("no version line")
     size = 2048
-    while (stop := head.find(b"\r\n\r\n")) < 0 and len(head) == size and size < RECORD_BYTES:  # a long header
+    while (stop := head.find(b"\r\n\r\n")) < 0 and len(head) == size and size < HEADER_BYTES:  # a long header
         size *= 8
         head = source.read(at, size)
     if stop < 0:
         raise ValueError("no end of header")
     fields = headers(head[:stop])
     length = fields.get("content-length", "")
-    if not (length.isascii() and length.isdigit()):
+    if not (length.isascii() and length.isdigit() and len(length) < 19):
         raise ValueError("no length")
     start, size = at + stop + 4, int(length)
-    if start + size + 4 > source.size or size >= RECORD_BYTES:
+    if size > LARGE and not source.reaches(start + size + 4):
         raise ValueError("length leads beyond the end")
     block = source.read(start, size + 4)
     if block[size:] != b"\r\n\r\n":
@@ -189,83 +213,100 @@ def parse(source: Source, at: int) -> tuple[dict[str, str], dict[str, str], byte
     return fields, http, payload, start + size + 4
 
 
-def in_member(content: bytes) -> Iterator[tuple[int, int, tuple | str]]:
+def in_member(member: Member) -> Iterator[tuple[int, int, tuple | str]]:
     """(start, end, record or reason) of the records and gaps of a member."""
-    member, pos, gap = Source.of(content), 0, None
-    while pos < len(content):
+    pos, gap = 0, None
+    while member.read(pos, 1):
         try:
             *made, end = parse(member, pos)
         except ValueError as e:
             gap = gap or (pos, str(e))
-            after = VERSION.search(content, pos + 1)
-            pos = after.start() if after else len(content)
+            after = member.find(VERSION, pos + 1)
+            pos = member.first + len(member.held) if after is None else after
+            member.drop(pos)
             continue
         if gap:
             yield gap[0], pos, gap[1]
             gap = None
         yield pos, end, tuple(made)
+        member.drop(end)
         pos = end
     if gap:
         yield gap[0], pos, gap[1]
 
 
-def at_record(source: Source, at: int) -> tuple[list[Record | Gap], int, str | None]:
-    """The records that begin at `at`, in a member or plain, where they end, and the
-    damage of their member. A gap within a member has the member's place."""
-    if source.read(at, 3) != GZIP:
-        fields, http, payload, end = parse(source, at)
-        return [Record(at, end - at, fields, http, payload)], end, None
-    content, end, damage = inflate(source, at)
-    found = list(in_member(content))
-    if damage and found and isinstance(found[-1][2], str):
-        found.pop()  # its cut end
-    alone = len(found) == 1 and found[0][:2] == (0, len(content))  # the member's checksum is its own
-    if (damage and alone) or ((damage or found) and not any(isinstance(x, tuple) for _, _, x in found)):
-        raise ValueError(damage or found[0][2])
-    return [Gap(at, end - at, f"in the member, at byte {a} to {b}: {x}") if isinstance(x, str) else Record(at, end - at, *x) for a, b, x in found], end, damage
-
-
 def salvage(archive: bytes | Source) -> Iterator[Record | Gap]:
     """The valid records of an archive in order, and the gaps between them. Of a
-    damaged member the records that unpacked whole come first, then its gap."""
+    damaged member the records that unpacked whole come first, then its gap. What is
+    in a member has the member's place, and as length that of the bytes read up to it."""
     source, at = Source.of(archive) if isinstance(archive, bytes) else archive, 0
     gap: tuple[int, str] | None = None
+
+    def before(stop: int) -> Iterator[Gap]:
+        nonlocal gap
+        if gap:
+            yield Gap(gap[0], stop - gap[0], gap[1])
+            gap = None
+
+    def plain(at: int) -> Iterator[Record | Gap]:
+        fields, http, payload, end = parse(source, at)
+        yield from before(at)
+        yield Record(at, end - at, fields, http, payload)
+        return end
+
+    def packed(at: int) -> Iterator[Record | Gap]:
+        member, held, sure = Member(source, at), [], False
+
+        def made() -> Iterator[Record | Gap]:
+            for a, b, x in held:
+                yield Gap(at, member.end - at, f"in the member, at byte {a} to {b}: {x}") if isinstance(x, str) else Record(at, member.end - at, *x)
+            held.clear()
+
+        for item in in_member(member):
+            if any(isinstance(x, tuple) for _, _, x in held):  # a record that is not the member's last
+                yield from before(at)
+                yield from made()
+                sure = True
+            held.append(item)
+        if member.damage and held and isinstance(held[-1][2], str):
+            held.pop()  # its cut end
+        alone = not sure and len(held) == 1 and held[0][0] == 0  # the member's checksum is its own
+        if not sure and ((member.damage and alone) or ((member.damage or held) and not any(isinstance(x, tuple) for _, _, x in held))):
+            raise ValueError(member.damage or held[0][2])
+        yield from before(at)
+        yield from made()
+        if member.damage:
+            raise ValueError(member.damage)
+        return member.end
+
     while at < source.size:
         try:
-            found, end, damage = at_record(source, at)
+            at = yield from (packed(at) if source.read(at, 3) == GZIP else plain(at))
         except ValueError as e:
             gap = gap or (at, str(e))
-            at = source.mark(at + 1)
-            continue
-        if gap:
-            yield Gap(gap[0], at - gap[0], gap[1])
-            gap = None
-        yield from found
-        if damage:
-            gap, at = (at, damage), source.mark(at + 1)
-        else:
-            at = end
-    if gap:
-        yield Gap(gap[0], at - gap[0], gap[1])
+            after = source.find(MARK, at + 1)
+            at = source.size if after is None else after
+    yield from before(source.size)
 
 
 def with_decisions(pages: DataFrame, id_col: str, payload_col: str, url_col: str, least_bytes: int) -> DataFrame:
-    """(id, url, payload, size, sha1, keep): keep is the id of the response where
-    another row holds it. Payloads that occur once are not looked up by content."""
+    """(id, url, payload, size, sha1, keep): keep is the id of the response where another
+    row holds it. Who keeps a payload is decided on ids and digests alone; the few rows
+    that do not are then looked up by both, so no payload is a key that many rows share."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
+    rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.unhex(F.sha1("payload")))
     names = rows.where(F.col("id").isNotNull() & (F.col("size") >= least_bytes)).select("sha1", "id")
-    groups = names.groupBy("sha1").agg(F.max("id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("sha1", "keep")
+    groups = names.groupBy("sha1").agg(F.max("id").alias("keep"), F.min("id").alias("least")).where("least < keep").select("sha1", "keep")
     groups = stored(groups, "payloads")  # so that the join's own exchange can split a hot payload
-    joined = rows.join(groups, "sha1", "left")
-    other = F.col("id").isNotNull() & (F.col("keep") != F.col("id")) & (F.col("size") >= least_bytes)
-    return joined.withColumn("keep", F.when(other, F.col("keep"))).withColumn("payload", F.when(~F.coalesce(other, F.lit(False)), F.col("payload")))
+    revisits = stored(names.join(groups, "sha1").where("id < keep").distinct(), "revisits")
+    joined = rows.join(revisits, ["id", "sha1"], "left")
+    return joined.withColumn("payload", F.when(F.col("keep").isNull(), F.col("payload")))
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> int:
     """Writes a record per row into archives under `path`, a folder that all
     executors share, and returns the number of records."""
-    small_batches(pages.sparkSession, 64)
+    small_batches(pages.sparkSession)
     rows = with_decisions(pages, id_col, payload_col, url_col, least_bytes).sortWithinPartitions("id").select("id", "url", "payload", "size", "sha1", "keep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +330,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str
                     own = f"{root}/part-{part}-{number:04d}.warc.gz"
                     out = store.open_output_stream(f"{own}.{context.taskAttemptId()}", compression=None)
                 payload = row["payload"] or b""
-                digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
+                digest = base64.b32encode(row["sha1"]).decode()
                 name = f"urn:page:{'null' if row['id'] is None else row['id']}"
                 keep = None if row["keep"] is None else f"urn:page:{row['keep']}"
                 data = record("response" if keep is None else "revisit", name, row["url"], date, payload, row["size"], digest, keep)
@@ -302,7 +343,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str
             close()
         yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
 
-    return int(rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
+    with batches_of(pages.sparkSession, 64):
+        return int(rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
 
 
 SCHEMA = "file string, offset long, length long, gap string, type string, record_id string, target string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -322,7 +364,7 @@ def rows_of(file: str, archive: bytes | Source, payloads: bool) -> Iterator[pa.R
             digest = get("warc-payload-digest", "").removeprefix("sha1:") or base32_sha1(x.payload)
             size = x.http.get("content-length", "") if kind == "revisit" else ""
             row = {"file": file, "offset": x.offset, "length": x.length, "type": kind, "record_id": get("warc-record-id", "").strip("<>"), "target": get("warc-target-uri"), "payload_digest": digest}
-            row |= {"refers_to": get("warc-refers-to", "").strip("<>") or None, "payload_bytes": int(size) if size.isdigit() else len(x.payload), "payload": x.payload if payloads and kind != "revisit" else None}
+            row |= {"refers_to": get("warc-refers-to", "").strip("<>") or None, "payload_bytes": int(size) if size.isdigit() else len(x.payload), "payload": x.payload if payloads and kind != "revisit" and len(x.payload) < COLUMN_BYTES else None}
             out.append(row)
             held += len(x.payload)
         if held >= 8 << 20 or len(out) >= 4096:
@@ -331,18 +373,13 @@ def rows_of(file: str, archive: bytes | Source, payloads: bool) -> Iterator[pa.R
     yield pa.RecordBatch.from_pylist(out, schema=ROWS)
 
 
-def read(spark: SparkSession, path: str, payloads: bool = True, large_bytes: int = LARGE_BYTES) -> DataFrame:
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """A row for every record, and for every gap (gap holds its reason). A revisit's
-    payload is null, its digest and payload_bytes those of the full payload. Large
-    archives are opened by their tasks, through the file system of their path."""
-    small_batches(spark, 1)
+    payload is null, its digest and payload_bytes those of the full payload. Archives
+    are opened by their tasks, through the file system of their path."""
+    small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from rows_of(file, content.as_py(), payloads)
-
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -352,6 +389,4 @@ def read(spark: SparkSession, path: str, payloads: bool = True, large_bytes: int
                 with store.open_input_file(at) as handle:
                     yield from rows_of(file, Source(size, lambda start, length, f=handle: f.read_at(length, start)), payloads)
 
-    small = files.where(F.col("length") <= large_bytes).select("path", "content").mapInArrow(whole, SCHEMA)
-    large = files.where(F.col("length") > large_bytes).select("path", "length").mapInArrow(opened, SCHEMA)
-    return small.union(large)
+    return files.select("path", "length").mapInArrow(opened, SCHEMA)

@@ -1,9 +1,11 @@
 """WARC, HTML, packing, top-k, pieces, languages, pseudonyms, pipeline."""
 
+import base64
 import gzip
 import hashlib
 import random
 import re
+import zlib
 
 import hypothesis
 import hypothesis.strategies as st
@@ -27,8 +29,6 @@ def test_archives_round_trip(spark, tmp_path):
     assert got["urn:page:6"].payload == b"long" * 50_000
     assert got["urn:page:null"].type == "response"
     assert got["urn:page:2"].payload_digest == got["urn:page:1"].payload_digest == warc.base32_sha1("aé".encode())
-    streamed = {r.record_id: r for r in warc.read(spark, path, large_bytes=10).collect()}
-    assert streamed == got
     assert warc.write(frame.limit(0), f"file://{tmp_path}/b") == 0
 
 
@@ -92,6 +92,62 @@ def test_headers_of_any_length(n):
     assert found(b"WARC/1.1\r\n" + b"a: b" * n)[0] == []
 
 
+def test_members_are_read_step_by_step():
+    """Records of any number and size in one member, with a false length among them."""
+    big = b"0123456789abcdef" * (2 << 20)
+    plain, _ = archive()
+    large = warc.record("response", "urn:page:8", "u", "1970-01-01T00:00:00Z", big, len(big), warc.base32_sha1(big))
+    false = plain[4].replace(b"Content-Length: ", b"Content-Length: 99999999999", 1)
+    data = gzip.compress(b"".join([*plain[:2], large, false, plain[5], large]), 1, mtime=0)
+    ids, gaps = found(data)
+    assert ids == [0, 1, 8, 5, 8]
+    assert ["length leads beyond the end" in g.reason for g in gaps] == [True]
+    member, held = warc.Member(warc.Source.of(data), 0), []
+    for _ in warc.in_member(member):
+        held.append(len(member.held))
+    assert max(held) < 3 * len(big)
+    assert found(b"".join([*plain[:2], large, false, plain[5], large]))[0] == [0, 1, 8, 5, 8]
+
+
+def test_a_payload_beyond_a_gibibyte():
+    block = b"\0" * (1 << 20)
+    digest, size = hashlib.sha1(), 1025 << 20
+    for _ in range(1025):
+        digest.update(block)
+    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Block-Digest: sha1:{base64.b32encode(digest.digest()).decode()}\r\nContent-Length: {size}\r\n\r\n".encode()
+    machine = zlib.compressobj(1, zlib.DEFLATED, 31)
+    data = machine.compress(head) + b"".join(machine.compress(block) for _ in range(1025)) + machine.compress(b"\r\n\r\n") + machine.flush()
+    (made,) = warc.salvage(data)
+    assert isinstance(made, warc.Record)
+    assert len(made.payload) == size
+
+
+def test_folded_headers():
+    data = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID:\r\n <urn:page:1>\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    assert found(data) == ([1], [])
+
+
+def test_op1_of_repeated_payloads_against_its_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(5)
+    html = [None, "", "a", "é" * 5000, "<p>x", "other"]
+    pages = [(i, f"u{i}", rng.choice(html)) for i in range(300)] + [(i, "v", f"own {i}") for i in range(300, 330)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("sha1", F.lit("x")).withColumn("keep", F.lit(1)).withColumn("size", F.lit(2))
+    frame.write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op1_warc(spark, f"file://{tmp_path}").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM ({queries.SQL['op1_warc']})").fetchall()
+    key = lambda r: r[0]
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
+    assert sum(r.record_type == "revisit" for r in got) == 300 - len({h or "" for h in html})
+    tied = spark.createDataFrame([(7, "u", "t"), (7, "u", "t"), (3, "u", "t"), (3, "u", "t"), (7, "u", "z")], "page_id long, url string, html string")
+    warc.write(tied, f"file://{tmp_path}/tied")
+    records = warc.read(spark, f"file://{tmp_path}/tied").collect()
+    assert sorted((r.record_id, r.type, r.refers_to or "") for r in records) == [("urn:page:3", "revisit", "urn:page:7")] * 2 + [("urn:page:7", "response", "")] * 3
+
+
 def test_op1_fails_on_a_gap_of_its_own(spark, sf, monkeypatch):
     monkeypatch.setattr(warc, "read", lambda spark, path, payloads: spark.createDataFrame([("f", "lost")], "file string, gap string").selectExpr("*", "'a:1' record_id", "'' refers_to", "1 payload_bytes", "'' payload_digest", "'' type"))
     with pytest.raises(Exception, match="gap in an archive just written"):
@@ -379,6 +435,21 @@ def test_long_segments_follow_the_same_lattice(codec, monkeypatch):
     short = [c.tolist() for c in codec.encode(texts, seeds)]
     monkeypatch.setattr(pieces, "LONGEST", 4)
     assert [c.tolist() for c in codec.encode(texts, seeds)] == short
+    monkeypatch.setattr(pieces, "CELLS", 40)
+    monkeypatch.setattr(pieces, "BLOCK", 7)
+    assert [c.tolist() for c in codec.encode(texts, seeds)] == short
+
+
+def test_scripts_without_spaces(codec):
+    """Long segments in one lattice, each as if it were alone; one of them very long."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("日本語中文ab") for _ in range(rng.randrange(30, 400))) for _ in range(60)]
+    texts += ["abcdefghij" * 30_000, "".join(rng.choice("etaoin") for _ in range(150_000))]
+    seeds = pieces.mix(np.arange(len(texts), dtype=np.uint64))
+    got = [c.tolist() for c in codec.encode(texts, seeds)]
+    assert [codec.decode(c) for c in got] == texts
+    for i in (0, 7, 59):
+        assert codec.encode([texts[i]], seeds[i : i + 1])[0].tolist() == got[i]
 
 
 def test_pieces_of_a_table(spark):
