@@ -64,9 +64,19 @@ class SortedSet:
         return self.frame.where(before).count()
 
     def ranked(self) -> DataFrame:
-        """element, score and rank of all."""
-        order = Window.orderBy("score", "element")
-        return self.frame.withColumn("rank", F.row_number().over(order) - 1)
+        """element, score and rank of all. A sample cuts the order into ranges, their
+        sizes are counted, and each range is then ranked by itself."""
+        parts = int(self.frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sample = self.frame.orderBy(F.xxhash64("element"), "element").limit(8 * parts).select("score", "element").collect()
+        cuts = sorted((r["score"], r["element"]) for r in sample)[8::8]
+        place = F.struct("score", "element")
+        bounds = F.array(*(F.struct(F.lit(s).alias("score"), F.lit(e).alias("element")) for s, e in cuts))
+        part = F.size(F.filter(bounds, lambda b: b <= place)) if cuts else F.lit(0)
+        cut = self.frame.withColumn("_part", part)
+        sizes = dict(cut.groupBy("_part").count().collect())
+        offsets = F.create_map(*(F.lit(x) for i in sizes for x in (i, sum(n for j, n in sizes.items() if j < i)))) if sizes else None
+        rank = F.row_number().over(Window.partitionBy("_part").orderBy("score", "element")) - 1
+        return cut.withColumn("rank", rank if offsets is None else offsets[F.col("_part")] + rank).drop("_part")
 
     def ordered(self, frame: DataFrame, reverse: bool = False) -> DataFrame:
         return frame.orderBy(*([F.desc("score"), F.desc("element")] if reverse else ["score", "element"]))

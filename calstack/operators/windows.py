@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from calstack.operators.elementwise import divide, valid
 
-#: Windows wider than this are computed from running totals instead of frames.
+#: Windows wider than this are put together from two parts instead of framed anew for each row.
 WIDE = 256
 
 
@@ -43,6 +43,11 @@ class Rows:
     def last(self, n: int) -> WindowSpec:
         return self.spec.rowsBetween(-(n - 1), 0)
 
+    def block(self, k: Column, n: int, descending: bool) -> WindowSpec:
+        """The rows of a row's block of n, up to it in order or in reverse."""
+        order = F.desc("ordinal") if descending else F.asc("ordinal")
+        return Window.partitionBy(*self.keys, self.ok, F.floor(k / n)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
     def lag(self, x: Column, n: int) -> Column:
         return F.lag(x, n).over(self.spec) if n else x
 
@@ -96,15 +101,6 @@ ROLLING: dict[str, tuple[str, Callable[[Rows, Column, int], Column]]] = {
 }
 
 
-def moments(rows: Rows, terms: dict[str, Column]) -> dict[str, Column]:
-    """Running totals and a row number, from which `wide` takes a window's sums."""
-    return {"n": F.row_number().over(rows.spec), **{k: F.sum(x).over(rows.so_far) for k, x in terms.items()}}
-
-
-def window_sum(rows: Rows, running: Column, n: int) -> Column:
-    return running - F.coalesce(F.lag(running, n).over(rows.spec), F.lit(0.0))
-
-
 def covariance(rows: Rows, x: list[Column], n: int) -> Column:
     """Mean of products less product of means, of any number of columns."""
     product, means = x[0], F.avg(x[0]).over(rows.last(n))

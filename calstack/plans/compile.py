@@ -171,26 +171,32 @@ class Frame:
         rows = windows.Rows(self.keys, ok.column)
         if n > windows.WIDE and name in ("add", "avg", "std", "var", "zsc"):
             return self.wide(key, rows, ok, x, n, name)
-        return self.add(key, [ok, x], lambda: F.when(ok.column, windows.ROLLING[name][1](rows, x.column, n)))
+        return self.add(key, [ok, x], lambda: F.when(ok.column, elementwise.valid(windows.ROLLING[name][1](rows, x.column, n))))
 
     def wide(self, key: Any, rows: windows.Rows, ok: Item, x: Item, n: int, name: str) -> Item:
-        """Sums of a wide window as differences of running totals of centred values."""
-        centre = self.add((key, "centre"), [ok, x], lambda: F.avg(x.column).over(rows.whole))
-        value = self.add((key, "value"), [centre], lambda: x.column - centre.column)
-        running = {k: self.add((key, k), [value], lambda f=f: f(value.column)) for k, f in (("n", lambda v: F.row_number().over(rows.spec)), ("s", lambda v: F.sum(v).over(rows.so_far)), ("q", lambda v: F.sum(v * v).over(rows.so_far)))}
-        sums = {k: self.add((key, k, n), [running[k]], lambda k=k: windows.window_sum(rows, running[k].column, n)) for k in ("s", "q")}
+        """Moments of a wide window from those of its two parts: the valid rows are cut
+        into blocks of n, so a window is the end of a block and the beginning of the
+        next. Each row is in no sum but those of windows that hold it."""
+        own = (ok.name, x.name, n)
+        k = self.add((*own, "k"), [ok, x], lambda: F.row_number().over(rows.spec) - 1)
+        parts = {}
+        for side, descending in (("end", True), ("begin", False)):
+            for what, made in (("n", F.count), ("mean", F.avg), ("var", F.var_pop)):
+                parts[side, what] = self.add((*own, side, what), [k], lambda made=made, descending=descending: made(x.column).over(rows.block(k.column, n, descending)))
+        # the end of the block before begins n - 1 rows back, unless this row ends its own
+        before = {w: self.add((*own, "before", w), [parts["end", w], k], lambda w=w: F.when((k.column >= n) & (F.pmod(k.column, F.lit(n)) != n - 1), rows.lag(parts["end", w].column, n - 1))) for w in ("n", "mean", "var")}
 
         def build() -> Column:
-            seen = F.least(running["n"].column, F.lit(n)).cast("double")
-            s, q = sums["s"].column, sums["q"].column
-            mean = s / seen
-            variance = F.greatest(q / seen - mean * mean, F.lit(0.0))
-            enough = running["n"].column >= (2 if name in ("avg", "zsc") else n)
-            std = F.sqrt(variance)
-            made = {"add": s + centre.column * seen, "avg": mean + centre.column, "var": variance, "std": std, "zsc": F.when(std != 0, (value.column - mean) / F.when(std != 0, std))}
-            return F.when(ok.column & enough, made[name])
-
-        return self.add(key, [*sums.values(), *running.values(), value, ok], build)
+            (n1, m1, v1), (n2, m2, v2) = ([side[w].column for w in ("n", "mean", "var")] for side in (before, {w: parts["begin", w] for w in ("n", "mean", "var")}))
+            both, alone = n1 + n2, n1.isNull()
+            mean = F.when(alone, m2).otherwise((n1 * m1 + n2 * m2) / both)
+            apart = m1 - m2
+            variance = F.when(alone, v2).otherwise((n1 * v1 + n2 * v2) / both + n1 * n2 * apart * apart / (both * both))
+            std, rows_seen = F.sqrt(variance), F.when(alone, n2).otherwise(both)
+            made = {"add": mean * rows_seen, "avg": mean, "var": variance, "std": std, "zsc": F.when(std != 0, (x.column - mean) / F.when(std != 0, std))}
+            return F.when(ok.column & (k.column + 1 >= (2 if name in ("avg", "zsc") else n)), elementwise.valid(made[name]))
+
+        return self.add(key, [*before.values(), *parts.values(), ok], build)
 
     def _rolling_pair(self, key: Any, node: Node, start: int, stop: int) -> Item:
         start, n = self.back(node, start), node.params["window"]

@@ -2,7 +2,8 @@
 
 Most run over the orders table, aggregated by business day: u and l are the price
 sums of urgent and of low-priority orders, n the number of urgent ones less 2, so
-there are gaps, zeros and negative values. Results are rounded on both sides.
+there are gaps, zeros and negative values. They cover all rows of their tables, but for
+those whose subject is a range. Results are rounded on both sides.
 """
 
 from __future__ import annotations
@@ -24,9 +25,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-FIRST, LAST = "1996-01-02", "2000-12-30"
+#: All slots of the orders, and a part of them for what is about ranges.
+FIRST, LAST = "1995-01-02", "2001-08-04"
+PART = ("1996-01-02", "2000-12-30")
+#: Ends the longest period that holds an order.
+PERIODS = "2002-01-05"
 B = CALENDARS["B"]
 START, STOP = B.ordinal(FIRST), B.ordinal(LAST)
+PART_START, PART_STOP = map(B.ordinal, PART)
 WINDOW = 5
 BACK = max(5, int(WINDOW * 1.25))
 
@@ -71,15 +77,15 @@ def r(expression: str, digits: int = 6) -> str:
     return f"round(CAST({expression} AS DOUBLE), {digits}) + 0.0"
 
 
-def select(columns: dict[str, str], start: int = START, stop: int = STOP, more: str = "", source: str = "t", windows: str = "") -> str:
-    """SQL over slots start to stop whose result is cut to START and later."""
+def select(columns: dict[str, str], start: int = START, stop: int = STOP, more: str = "", source: str = "t", windows: str = "", within: tuple[int, int] = (START, STOP)) -> str:
+    """SQL over slots start to stop whose result is cut to those within a range."""
     made = ", ".join(f'{r(e)} AS "{c}"' for c, e in columns.items())
     inner = f"SELECT o, date, {made} FROM {source} {windows}"
-    return f"WITH RECURSIVE {base(start, stop)}{more} SELECT * EXCLUDE (o) FROM ({inner}) WHERE o BETWEEN {START} AND {STOP - 1}"
+    return f"WITH RECURSIVE {base(start, stop)}{more} SELECT * EXCLUDE (o) FROM ({inner}) WHERE o BETWEEN {within[0]} AND {within[1] - 1}"
 
 
-def query(name: str, program: Callable[[SparkSession, str], Program], sql: str | None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: rounded(program(spark, sf_dir).rows[FIRST:LAST])
+def query(name: str, program: Callable[[SparkSession, str], Program], sql: str | None, wanted: tuple[str, str] = (FIRST, LAST)) -> None:
+    QUERIES[name] = lambda spark, sf_dir: rounded(program(spark, sf_dir).rows[wanted[0] : wanted[1]])
     if sql is not None:
         SQL[name] = sql
 
@@ -190,6 +196,23 @@ for _name in ("add", "avg", "std", "var", "zsc"):
 
     query(f"r{_name}_wide", _wide, select({"u": _wide_sql("u"), "l": _wide_sql("l")}, START - 375, windows=windows_sql(300)))
 
+# Wide windows over outliers: each spoils the windows that hold it, and no other.
+
+
+def spiked(spark: SparkSession, sf_dir: str) -> Program:
+    spike = F.when(F.dayofyear("o_orderdate") == 100, 1e12).otherwise(F.col("o_totalprice") / 99991)
+    return cs.facts(table(spark, sf_dir, "orders"), "o_orderdate", {"u": ("sum", spike)})
+
+
+SPIKED = "s AS (SELECT t.o, t.date, g.u FROM t LEFT JOIN (SELECT (({k}) // 7) * 5 + least(({k}) % 7, 5) - 3 AS o, sum(CASE WHEN dayofyear(o_orderdate) = 100 THEN 1e12 ELSE o_totalprice / 99991 END) AS u FROM orders GROUP BY 1) g ON g.o = t.o)".format(k="date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 3")
+for _n in (257, 300):
+    for _name in ("std", "avg"):
+        _window = f"WINDOW w AS (PARTITION BY u IS NOT NULL ORDER BY o), roll AS (PARTITION BY u IS NOT NULL ORDER BY o ROWS BETWEEN {_n - 1} PRECEDING AND CURRENT ROW)"
+        # on windows without an outlier: the others have lost these decimals on either side
+        _made = f"CASE WHEN u IS NOT NULL AND max(u) OVER roll < 1e9 AND row_number() OVER w >= {_n} THEN {'stddev_pop' if _name == 'std' else 'avg'}(u) OVER roll END"
+        QUERIES[f"r{_name}_{_n}_outliers"] = lambda spark, sf_dir, n=_n, name=_name: rounded((spiked(spark, sf_dir) + cs.dup + cs.hset("m,u") + cs.resolve(f"r{name}")(n) + cs.rmax(n).cols["m"]).rows[FIRST:LAST].selectExpr("date", "CASE WHEN m < 1e9 THEN u END AS u"))
+        SQL[f"r{_name}_{_n}_outliers"] = select({"u": _made}, START - int(1.25 * _n), more=", " + SPIKED, source="s", windows=_window)
+
 # Row-wise reductions, plain and ignoring missing values.
 
 FOLDS = {"sub": "{a} - {b}", "mul": "{a} * {b}", "div": "{a} / {b}", "pow": "pow({a}, {b})", "mod": "CASE WHEN {b} <> 0 THEN {a} - floor({a} / {b}) * {b} END"}
@@ -287,13 +310,14 @@ query("define", lambda s, d: orders(s, d, "u") + cs.squared, select({"u": "u * u
 # Clean-up and range control.
 
 query("fill", lambda s, d: orders(s, d) + cs.fill(0.5), select({"u": "coalesce(u, 0.5)", "l": "coalesce(l, 0.5)"}))
-query("ffill", lambda s, d: orders(s, d) + cs.ffill(10), select({c: f"CASE WHEN o <= max(CASE WHEN {c} IS NOT NULL THEN o END) OVER () THEN last_value({c} IGNORE NULLS) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END" for c in "ul"}, START - 10))
-query("fillfirst", lambda s, d: orders(s, d) + cs.fillfirst(5).cols[:], select({c: f"CASE WHEN o = {START} THEN last_value(CASE WHEN {OK} THEN {c} END IGNORE NULLS) OVER (ORDER BY o ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) ELSE {c} END" for c in "ul"}, START - 5))
+query("ffill", lambda s, d: orders(s, d) + cs.ffill(10), select({c: f"CASE WHEN o <= max(CASE WHEN {c} IS NOT NULL THEN o END) OVER () THEN last_value({c} IGNORE NULLS) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END" for c in "ul"}, PART_START - 10, PART_STOP, within=(PART_START, PART_STOP)), PART)
+query("ffill_whole", lambda s, d: orders(s, d) + cs.ffill(10, leave_end=False), select({c: f"last_value({c} IGNORE NULLS) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for c in "ul"}, START - 10))
+query("fillfirst", lambda s, d: orders(s, d) + cs.fillfirst(5).cols[:], select({c: f"CASE WHEN o = {PART_START} THEN last_value(CASE WHEN {OK} THEN {c} END IGNORE NULLS) OVER (ORDER BY o ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) ELSE {c} END" for c in "ul"}, PART_START - 5, PART_STOP, within=(PART_START, PART_STOP)), PART)
 query("sync", lambda s, d: orders(s, d) + cs.sync, select({"u": masked("u"), "l": masked("l")}))
 CUT = B.ordinal("1998-06-15")
 query("join", lambda s, d: orders(s, d) + cs.cadd.cols[:] + cs.join("1998-06-15"), select({"u": masked(f"sum(CASE WHEN {OK} THEN CASE WHEN o < {CUT} THEN u ELSE l END END) OVER (PARTITION BY o < {CUT} ORDER BY o)")}))
-query("zero_first", lambda s, d: orders(s, d, "u") + cs.zero_first, select({"u": f"CASE WHEN o = {START} THEN 0 ELSE u END"}))
-query("set_start", lambda s, d: orders(s, d, "u") + cs.cadd + cs.set_start("1995-06-01"), select({"u": "CASE WHEN u IS NOT NULL THEN sum(u) OVER (ORDER BY o) END"}, B.ordinal("1995-06-01")))
+query("zero_first", lambda s, d: orders(s, d, "u") + cs.zero_first, select({"u": f"CASE WHEN o = {PART_START} THEN 0 ELSE u END"}, PART_START, PART_STOP, within=(PART_START, PART_STOP)), PART)
+query("set_start", lambda s, d: orders(s, d, "u") + cs.cadd + cs.set_start("1995-06-01"), select({"u": "CASE WHEN u IS NOT NULL THEN sum(u) OVER (ORDER BY o) END"}, B.ordinal("1995-06-01"), PART_STOP, within=(PART_START, PART_STOP)), PART)
 query("set_start_offset", lambda s, d: orders(s, d, "u") + cs.cadd + cs.set_start(20), select({"u": f"CASE WHEN o >= {START + 20} AND u IS NOT NULL THEN sum(CASE WHEN o >= {START + 20} THEN u END) OVER (ORDER BY o) END"}))
 
 # Resampling: business days to every other calendar, by every method.
@@ -310,7 +334,7 @@ RESAMPLING = {
 }
 
 
-def resampling_sql(code: str, method: str, start: str = "1996-01-02", stop: str = "2000-12-30") -> str:
+def resampling_sql(code: str, method: str, start: str = FIRST, stop: str = PERIODS) -> str:
     p = CALENDARS[code]
     wanted = Range(p.ordinal(start), p.ordinal(stop), p)
     daily = wanted.change_periodicity("B")
@@ -327,25 +351,31 @@ SELECT CAST({end} AS DATE) AS date, {r("x")} AS u FROM (SELECT g, {RESAMPLING[me
 for _method in RESAMPLING:
 
     def _resample(spark: SparkSession, sf_dir: str, method: str = _method) -> DataFrame:
-        return rounded((orders(spark, sf_dir, "u") + cs.resolve(f"resample_{method}") + cs.set_periodicity("B")).rows[FIRST:LAST:"M"])
+        return rounded((orders(spark, sf_dir, "u") + cs.resolve(f"resample_{method}") + cs.set_periodicity("B")).rows[FIRST:PERIODS:"M"])
 
     QUERIES[f"resample_{_method}"] = _resample
     SQL[f"resample_{_method}"] = resampling_sql("M", _method)
 for _code in "NTWHFQY":
-    QUERIES[f"set_periodicity_{_code}"] = lambda spark, sf_dir, code=_code: rounded((orders(spark, sf_dir, "u") + cs.resample_sum).rows[FIRST:LAST:code])
-    SQL[f"set_periodicity_{_code}"] = resampling_sql(_code, "sum")
+    QUERIES[f"resample_sum_{_code}"] = lambda spark, sf_dir, code=_code: rounded((orders(spark, sf_dir, "u") + cs.resample_sum).rows[FIRST:PERIODS:code])
+    SQL[f"resample_sum_{_code}"] = resampling_sql(_code, "sum")
+
+
+# Another calendar in between: a day that ends one of its periods has that period's sum.
+for _code in "NTWHFMQY":
+    QUERIES[f"set_periodicity_{_code}"] = lambda spark, sf_dir, code=_code: rounded((orders(spark, sf_dir, "u") + cs.resample_sum + cs.set_periodicity(code)).rows[FIRST:LAST])
+    SQL[f"set_periodicity_{_code}"] = f"WITH s AS ({resampling_sql(_code, 'sum')}), {base()} SELECT t.date, s.u FROM t LEFT JOIN s ON s.date = t.date"
 
 # Lineitem by month: a parallel aggregation straight to the calendar.
 
-QUERIES["monthly_lineitem"] = lambda spark, sf_dir: rounded((cs.facts(table(spark, sf_dir, "lineitem"), "l_shipdate", {"quantity": ("sum", "l_quantity"), "discount": ("avg", "l_discount"), "lines": ("count", "l_linenumber")}, "M") + ~cs.rdif(13) + cs.map).rows["1996-01-01":"2001-10-01"])
+QUERIES["monthly_lineitem"] = lambda spark, sf_dir: rounded((cs.facts(table(spark, sf_dir, "lineitem"), "l_shipdate", {"quantity": ("sum", "l_quantity"), "discount": ("avg", "l_discount"), "lines": ("count", "l_linenumber")}, "M") + ~cs.rdif(13) + cs.map).rows["1995-01-01":"2001-12-01"])
 SQL["monthly_lineitem"] = """WITH f AS (SELECT (year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 AS o, CAST(sum(l_quantity) AS DOUBLE) AS quantity, avg(l_discount) AS discount, CAST(count(l_linenumber) AS DOUBLE) AS lines FROM lineitem GROUP BY 1),
-t AS (SELECT c.o, quantity, discount, lines FROM (SELECT unnest(range(312 - 16, 381)) AS o) c LEFT JOIN f ON f.o = c.o)
+t AS (SELECT c.o, quantity, discount, lines FROM (SELECT unnest(range(300 - 16, 383)) AS o) c LEFT JOIN f ON f.o = c.o)
 SELECT date, round(quantity, 6) + 0.0 AS quantity, round(discount, 6) + 0.0 AS discount, round(lines, 6) + 0.0 AS lines FROM (
   SELECT o, CAST(CAST(DATE '1970-01-01' + to_months(CAST(o + 1 AS INTEGER)) AS DATE) - 1 - CAST(greatest(0, isodow(CAST(DATE '1970-01-01' + to_months(CAST(o + 1 AS INTEGER)) AS DATE) - 1) - 5) AS INTEGER) AS DATE) AS date,
     CASE WHEN quantity IS NOT NULL THEN quantity - lag(quantity, 12) OVER (PARTITION BY quantity IS NOT NULL ORDER BY o) END AS quantity,
     CASE WHEN quantity IS NOT NULL THEN discount - lag(discount, 12) OVER (PARTITION BY quantity IS NOT NULL ORDER BY o) END AS discount,
     CASE WHEN quantity IS NOT NULL THEN lines - lag(lines, 12) OVER (PARTITION BY quantity IS NOT NULL ORDER BY o) END AS lines
-  FROM t) WHERE o >= 312"""
+  FROM t) WHERE o >= 300"""
 
 # A program for every user at once.
 
@@ -367,17 +397,22 @@ SELECT user_id, DATE '1970-01-01' + CAST(((o + 3) // 5) * 7 + (o + 3) % 5 - 3 AS
 
 def stored(spark: SparkSession, sf_dir: str) -> Store:
     import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="calstack-query-")
-    store = Store(f"{shared}/query-store-{abs(hash((sf_dir, tempfile.mktemp())))}")
-    store.write("orders", orders(spark, sf_dir).rows["1995-01-02":"1998-01-01"])
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="calstack-query-")
+    store = Store(f"{shared}/query-store-{uuid.uuid4().hex}")
+    store.write("orders", orders(spark, sf_dir).rows[FIRST:"1998-01-01"])
     store.write("orders", orders(spark, sf_dir).rows["1997-12-01":LAST])
     return store
 
 
 QUERIES["store_read"] = lambda spark, sf_dir: rounded(stored(spark, sf_dir)["orders", slice(FIRST, LAST)])
 SQL["store_read"] = select({"u": "u", "l": "l"})
-QUERIES["load"] = lambda spark, sf_dir: rounded((cs.load("orders#u", stored(spark, sf_dir)) + cs.resample_max).rows[FIRST:LAST:"M"])
+QUERIES["load"] = lambda spark, sf_dir: rounded((cs.load("orders#u", stored(spark, sf_dir)) + cs.resample_max).rows[FIRST:PERIODS:"M"])
 SQL["load"] = resampling_sql("M", "max")
 QUERIES["sorted_set"] = lambda spark, sf_dir: SortedSet(table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("element")).agg(F.count("*").cast("double").alias("score"))).increment("1-URGENT", 1).add(new=1).ranked().select("element", "score", F.col("rank").cast("long").alias("rank"))
 SQL["sorted_set"] = "SELECT element, score, row_number() OVER (ORDER BY score, element) - 1 AS rank FROM (SELECT o_orderpriority AS element, CAST(count(*) AS DOUBLE) + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS score FROM orders GROUP BY o_orderpriority UNION ALL SELECT 'new', 1)"
@@ -385,6 +420,182 @@ QUERIES["row_range"] = lambda spark, sf_dir: rounded(orders(spark, sf_dir).rows[
 SQL["row_range"] = f"WITH {base(START, STOP + 300)}, b AS (SELECT max(o) AS m FROM f) SELECT date, {r('u')} AS u, {r('l')} AS l FROM t, b WHERE o BETWEEN m + 1 - 30 AND m - 10"
 
 
+# What Python sees of a program: sizes, single rows, texts.
+
+
+def told(spark: SparkSession, facts: dict[str, float | int | bool | None]) -> DataFrame:
+    return spark.createDataFrame([(k, None if v is None else round(float(v), 6)) for k, v in facts.items()], "name string, value double")
+
+
+def told_sql(facts: dict[str, str], source: str = "") -> str:
+    return source + " UNION ALL ".join(f"SELECT '{k}' AS name, round(CAST({v} AS DOUBLE), 6) + 0.0 AS value" for k, v in facts.items())
+
+
+def views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    program = orders(spark, sf_dir)
+    last = program.last
+    values = program.values[FIRST:LAST]
+    return told(spark, {
+        "columns": len(program.columns),
+        "stack": len(program.stack),
+        "all": program.all.count(),
+        "last": None if last["l"] != last["l"] else last["l"],
+        "values": values.agg(F.sum("u")).first()[0],
+        "width": len(values.columns),
+    })
+
+
+QUERIES["views"] = views
+SQL["views"] = told_sql({"columns": "2", "stack": "2", "all": "(SELECT max(o) - min(o) + 1 FROM f)", "last": "(SELECT l FROM f ORDER BY o DESC LIMIT 1)", "values": "(SELECT sum(u) FROM f)", "width": "2"}, f"WITH {base()} ")
+query("row_of_a_date", lambda s, d: orders(s, d), select({"u": "u", "l": "l"}, within=(B.ordinal("1997-03-05"), B.ordinal("1997-03-06"))))
+QUERIES["row_of_a_date"] = lambda spark, sf_dir: rounded(orders(spark, sf_dir).rows["1997-03-05"])
+query("from_pandas", lambda s, d: cs.from_pandas(orders(s, d).pandas[FIRST:LAST]), select({"u": "u", "l": "l"}))
+query("quotation", lambda s, d: orders(s, d) + cs.q(cs.dup + cs.mul) + cs.map, select({"u": "u * u", "l": "l * l"}))
+query("literal_r5", lambda s, d: orders(s, d, "u") + cs.r5 + cs.add.cols[-2:], select({"u": "u", "c0": "0", "c1": "1", "c2": "2", "c3": "7"}))
+query("apply", lambda s, d: orders(s, d) + cs.apply(lambda x: F.sqrt(x) * 2 + 1).cols[:], select({"u": "2 * sqrt(u) + 1", "l": "2 * sqrt(l) + 1"}))
+
+
+def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = cs.randn(seed=11).rows[0:20_000].agg(F.avg("randn").alias("m"), F.stddev("randn").alias("s")).first()
+    same = (cs.randn(seed=3) + cs.dup + cs.sub).rows[0:1000].where("randn <> 0").count()
+    return told(spark, {"mean near 0": abs(x.m) < 0.05, "deviation near 1": abs(x.s - 1) < 0.05, "copies that differ": same})
+
+
+QUERIES["randn"] = draws
+SQL["randn"] = told_sql({"mean near 0": "1", "deviation near 1": "1", "copies that differ": "0"})
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    program = cs.c(2) + cs.dup + cs.mul + cs.ravg(3)
+    found = {r[1]: r[0] for r in cs.vocabulary_rows()}
+    rows = [("str", str(program)), ("repr", repr(program)), *((f"line {i}", line) for i, line in enumerate(program.describe().split("\n")))]
+    rows += [(w, found[w]) for w in ("ravg", "cadd", "rcadd", "navg", "resample_sum", "dup", "ffill", "q")]
+    rows += [("heading", line) for line in cs.vocabulary_text().split("\n") if line == "### rolling"]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
+QUERIES["texts"] = texts
+SQL["texts"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{k}', '{v}')"
+    for k, v in [
+        ("str", "c(2) + dup.copy + mul + ravg(3)"),
+        ("repr", "Program[c(2) + dup.copy + mul + ravg(3)]"),
+        ("line 0", "c2: rolling{''name'': ''avg'', ''window'': 3} (group of 1)"),
+        ("line 1", "  reduction{''name'': ''mul'', ''ignore'': False} (group of 1)"),
+        ("line 2", "    constant{''value'': 2} (group of 1)"),
+        ("line 3", "    constant{''value'': 2} (group of 1)"),
+        ("ravg", "rolling"), ("cadd", "cumulative"), ("rcadd", "reverse cumulative"), ("navg", "reductions ignoring missing values"), ("resample_sum", "resampling"), ("dup", "stack"), ("ffill", "clean-up"), ("q", "quotation"), ("heading", "### rolling"),
+    ]
+) + ") AS v(name, value)"
+
+# The store's catalog, its checks, deletion, the diagonal, and the default store.
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = stored(spark, sf_dir)
+    store.write("whole", orders(spark, sf_dir).rows[FIRST:LAST])
+    rows = [(m.key, m.col, m.type, m.calendar, m.start, m.stop, m.created is not None and m.updated >= m.created) for m in store.all_series if m.frame in store.keys]
+    return spark.createDataFrame(rows, "key string, col string, type string, calendar string, start long, stop long, stamped boolean")
+
+
+QUERIES["store_catalog"] = catalog
+#: A new series begins and ends with a value; an update reaches as far as it was written.
+SQL["store_catalog"] = f"WITH {base()} " + " UNION ALL ".join(f"SELECT '{k}#{c}' AS key, '{c}' AS col, 'F' AS type, 'B' AS calendar, min(o) AS start, {stop} AS stop, true AS stamped FROM f WHERE {c} IS NOT NULL" for k, stop in (("orders", STOP), ("whole", "max(o) + 1")) for c in "ul")
+
+
+def refused(action: Callable[[], object], kind: type[Exception]) -> bool:
+    try:
+        action()
+    except kind:
+        return True
+    return False
+
+
+def store_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import pandas as pd
+
+    store = stored(spark, sf_dir)
+    days = orders(spark, sf_dir).pandas[FIRST:"1995-03-01"]
+    later = days.set_axis(pd.bdate_range("2030-01-01", periods=len(days)))
+    return told(spark, {
+        "two columns of a name": refused(lambda: store.write("orders", pd.concat([days, days], axis=1)), ValueError),
+        "gap": refused(lambda: store.write("orders", later), ValueError),
+        "type": refused(lambda: store.write("orders", days.fillna(0).astype("int64")), ValueError),
+        "calendar": refused(lambda: store.write("orders", days.iloc[:12].set_axis(pd.date_range("1995-01-31", periods=12, freq="ME")), "M"), ValueError),
+        "no such key": refused(lambda: store["none"], KeyError),
+        "no such column": refused(lambda: cs.load("orders#none", store).rows[FIRST:LAST], KeyError),
+        "still there": store["orders"].where("u IS NOT NULL").count(),
+    })
+
+
+QUERIES["store_checks"] = store_checks
+SQL["store_checks"] = told_sql({"two columns of a name": "1", "gap": "1", "type": "1", "calendar": "1", "no such key": "1", "no such column": "1", "still there": "(SELECT count(u) FROM f)"}, f"WITH {base()} ")
+
+
+def store_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = stored(spark, sf_dir)
+    store.write("other", orders(spark, sf_dir, "u").rows[FIRST:"1996-01-01"])
+    facts = {"keys": len(store.keys), "with prefix": len(store.keys_for_prefix("or"))}
+    del store["orders#l"]
+    facts |= {"columns": len(store.columns("orders")), "values": store["orders"].where("u IS NOT NULL").count(), "gone": refused(lambda: store["orders#l"], KeyError)}
+    store.delete_all()
+    return told(spark, facts | {"left": len(store.keys)})
+
+
+QUERIES["store_delete"] = store_delete
+SQL["store_delete"] = told_sql({"keys": "2", "with prefix": "1", "columns": "1", "values": "(SELECT count(u) FROM f)", "gone": "1", "left": "0"}, f"WITH {base()} ")
+
+
+def diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = stored(spark, sf_dir)
+    rows = orders(spark, sf_dir).rows[FIRST:LAST]
+    both = rows.select("date", F.lit("u").alias("label"), "u", (F.col("l") * 2).alias("l")).union(rows.select("date", F.lit("l"), F.col("u") * 3, "l"))
+    store.write("square", both, labels="label")
+    return rounded(store.diags("square"))
+
+
+QUERIES["store_diags"] = diagonal
+SQL["store_diags"] = select({"u": "u", "l": "l"}) + " AND (u IS NOT NULL OR l IS NOT NULL)"
+
+
+def default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from calstack.sources import store as stores
+
+    before = stores._default
+    try:
+        stores.use_store(stored(spark, sf_dir).path)
+        cs.db["again"] = cs.load("orders#u").rows[FIRST:LAST]
+        return rounded(cs.load("again").rows[FIRST:LAST])
+    finally:
+        stores._default = before
+
+
+QUERIES["default_store"] = default
+SQL["default_store"] = select({"u": "u"})
+
+
+def set_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements are customers' numbers, scores their numbers of orders."""
+    scores = SortedSet(table(spark, sf_dir, "orders").groupBy(F.format_string("c%07d", "o_custkey").alias("element")).agg(F.count("*").cast("double").alias("score")))
+    names = SortedSet(scores.frame.withColumn("score", F.lit(0.0)))
+    parts = {"rank": scores.range_by_rank(5, 24), "first": scores.range_by_rank(-10, -1, True), "last": scores.range_by_rank(0, 9, True), "score": scores.range_by_score(3, 4), "some": scores.range_by_score(2, 9, 3, 7), "lex": names.range_by_lex("[c0000010", "(c0000050"), "from": names.range_by_lex("(c0000020", "+", 2, 5)}
+    found = [f.select(F.lit(k).alias("part"), "element", "score") for k, f in parts.items()]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+QUERIES["sorted_set_ranges"] = set_ranges
+SQL["sorted_set_ranges"] = """WITH s AS (SELECT format('c{:07d}', o_custkey) AS element, CAST(count(*) AS DOUBLE) AS score FROM orders GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY score, element) - 1 AS k, count(*) OVER () AS n FROM s)
+SELECT 'rank' AS part, element, score FROM r WHERE k BETWEEN 5 AND 24 UNION ALL SELECT 'last', element, score FROM r WHERE k >= n - 10 UNION ALL SELECT 'first', element, score FROM r WHERE k < 10 UNION ALL SELECT 'score', element, score FROM s WHERE score BETWEEN 3 AND 4
+UNION ALL (SELECT 'some', element, score FROM s WHERE score BETWEEN 2 AND 9 ORDER BY score, element LIMIT 7 OFFSET 3) UNION ALL SELECT 'lex', element, 0.0 FROM s WHERE element >= 'c0000010' AND element < 'c0000050'
+UNION ALL (SELECT 'from', element, 0.0 FROM s WHERE element > 'c0000020' ORDER BY element LIMIT 5 OFFSET 2)"""
+QUERIES["sorted_set_ranks"] = lambda spark, sf_dir: SortedSet(table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("element")).agg(F.count("*").cast("double").alias("score"))).ranked().select("element", "score", F.col("rank").cast("long").alias("rank"))
+SQL["sorted_set_ranks"] = "SELECT element, score, row_number() OVER (ORDER BY score, element) - 1 AS rank FROM (SELECT CAST(o_custkey AS VARCHAR) AS element, CAST(count(*) AS DOUBLE) AS score FROM orders GROUP BY 1)"
+
+
 def dated(made: Query) -> Query:
     """Dates as text, which all clients compare alike."""
 
@@ -396,4 +607,5 @@ def dated(made: Query) -> Query:
 
 
 QUERIES = {name: dated(made) for name, made in QUERIES.items()}
-SQL = {name: text if name == "sorted_set" else f"SELECT * REPLACE (CAST(CAST(date AS DATE) AS VARCHAR) AS date) FROM ({text})" for name, text in SQL.items()}
+UNDATED = {"sorted_set", "sorted_set_ranges", "sorted_set_ranks", "views", "randn", "texts", "store_catalog", "store_checks", "store_delete"}
+SQL = {name: text if name in UNDATED else f"SELECT * REPLACE (CAST(CAST(date AS DATE) AS VARCHAR) AS date) FROM ({text})" for name, text in SQL.items()}

@@ -1,9 +1,12 @@
 """A store of series in Parquet: frame#column$row -> values by slot.
 
-A write makes a new version of its frame: the series, sorted by column, row and slot
-so that a range reads few row groups, and then their catalog, whose completion mark
-makes the version current. Readers see a whole version or the one before. Series of
-a frame keep their calendar and type; an update must touch or overlap what is there.
+A write makes a new version of its frame: the values that it brings, sorted by column,
+row and slot so that a range reads few row groups, and then the catalog of all series,
+whose completion mark makes the version current. A version is whole (`data`) or adds to
+the one before (`added`); of a slot's values the latest counts, and a missing one takes
+the earlier ones out. So a write costs as much as it brings; after MOST_ADDED of them the
+next one is written whole. Readers see a complete version or the one before. Series of a
+frame keep their calendar and type; an update must touch or overlap what is there.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from calstack.functions.calendar import CALENDARS, Periodicity, Range, from_offs
 
 #: Types of stored series: code, and what a gap reads as.
 TYPES = {"F": ("double", None), "N": ("long", 0), "B": ("boolean", False)}
+#: Versions that may add to a whole one.
+MOST_ADDED = 16
+VALUES = "col string, row string, ordinal long, value double"
 CATALOG = "frame string, col string, row string, col_no int, row_no int, type string, calendar string, start long, stop long, created timestamp, updated timestamp"
 
 
@@ -111,6 +117,12 @@ class Store:
         found = [int(v[2:]) for v in self.listed(at) if re.fullmatch(r"v=\d+", v)]
         return sorted(v for v in found if "_SUCCESS" in self.listed(f"{at}/v={v}/catalog"))
 
+    def chain(self, frame: str) -> list[int]:
+        """The versions that make up the current one: the last whole one and what follows."""
+        found = self.versions(frame)
+        whole = next(i for i in range(len(found) - 1, -1, -1) if "data" in self.listed(self.at(frame, found[i])))
+        return found[whole:]
+
     def at(self, frame: str, version: int) -> str:
         return f"{self.path}/{quote(frame, safe='')}/v={version}"
 
@@ -150,15 +162,26 @@ class Store:
     def series(self, key: str, start: int | None = None, stop: int | None = None) -> DataFrame:
         """(col, row, ordinal, value): the stored values of a key within slots."""
         k = Key.parse(key)
-        rows = self.spark.read.parquet(f"{self.at(k.frame, self.versions(k.frame)[-1])}/data")
-        for name, pattern in (("col", k.col), ("row", k.row)):
-            if pattern is not None:
-                rows = rows.where(F.col(name).startswith(pattern[:-1]) if pattern.endswith("*") else F.col(name) == pattern)
-        if start is not None:
-            rows = rows.where(F.col("ordinal") >= start)
-        if stop is not None:
-            rows = rows.where(F.col("ordinal") < stop)
-        return rows.select("col", "row", "ordinal", "value")
+        first, *later = self.chain(k.frame)
+
+        def part(version: int, folder: str) -> DataFrame:
+            rows = self.spark.read.schema(VALUES).parquet(f"{self.at(k.frame, version)}/{folder}")
+            for name, pattern in (("col", k.col), ("row", k.row)):
+                if pattern is not None:
+                    rows = rows.where(F.col(name).startswith(pattern[:-1]) if pattern.endswith("*") else F.col(name) == pattern)
+            if start is not None:
+                rows = rows.where(F.col("ordinal") >= start)
+            if stop is not None:
+                rows = rows.where(F.col("ordinal") < stop)
+            return rows.select("col", "row", "ordinal", "value", F.lit(version).alias("_v"))
+
+        rows = part(first, "data")
+        if not later:
+            return rows.drop("_v")
+        for version in later:
+            rows = rows.union(part(version, "added"))
+        latest = F.max(F.struct("_v", "value"))["value"].alias("value")
+        return rows.groupBy("col", "row", "ordinal").agg(latest).where("value IS NOT NULL")
 
     def __getitem__(self, key: str | tuple[str, slice]) -> DataFrame:
         """date, row label if the frame has any, and a column for each stored one, all
@@ -309,15 +332,20 @@ class Store:
             catalog[key] = (frame, r["col"], r["row"], column_numbers[r["col"]], row_numbers[r["row"]], kind, calendar.code, start, stop, created, now)
         for key, m in old.items():
             catalog.setdefault(key, tuple(getattr(m, f) for f in Metadata.__dataclass_fields__))
-        new = long.select("col", "row", "ordinal", "value", F.lit(1).alias("_new"))
-        if versions:
-            before = self.spark.read.parquet(f"{self.at(frame, versions[-1])}/data").select("col", "row", "ordinal", "value", F.lit(0).alias("_new"))
-            latest = Window.partitionBy("col", "row", "ordinal").orderBy(F.desc("_new"))
-            new = before.union(new).withColumn("_r", F.row_number().over(latest)).where("_r = 1")
-        new.where("value IS NOT NULL").select("col", "row", "ordinal", "value").repartitionByRange("col", "row", "ordinal").sortWithinPartitions("col", "row", "ordinal").write.parquet(f"{here}/data")
+        chain = self.chain(frame) if versions else []
+        new = long.select("col", "row", "ordinal", "value")
+        if len(chain) > MOST_ADDED:
+            before = self.series(frame).withColumn("_v", F.lit(0))
+            latest = F.max(F.struct("_v", "value"))["value"].alias("value")
+            new = before.union(new.withColumn("_v", F.lit(1))).groupBy("col", "row", "ordinal").agg(latest)
+        whole = not 0 < len(chain) <= MOST_ADDED
+        if whole:
+            new = new.where("value IS NOT NULL")
+        new.repartitionByRange("col", "row", "ordinal").sortWithinPartitions("col", "row", "ordinal").write.parquet(f"{here}/{'data' if whole else 'added'}")
         self.spark.createDataFrame(list(catalog.values()), CATALOG).coalesce(1).write.parquet(f"{here}/catalog")
-        for v in versions[:-1]:  # the version before stays for those who read it now
-            self.remove(self.at(frame, v))
+        for v in versions:  # what makes up the version before stays for those who read it now
+            if v < chain[0]:
+                self.remove(self.at(frame, v))
 
     def __delitem__(self, key: str) -> None:
         k = Key.parse(key)

@@ -255,3 +255,41 @@ def test_columns_of_one_window_share_its_sort(spark, sf, capsys):
     plan = capsys.readouterr().out
     assert plan.split("\n\n")[0].count("Window") <= 2
     assert F.col is not None
+
+
+def test_a_small_write_leaves_earlier_files(store, tmp_path):
+    index = pd.bdate_range("2020-01-01", periods=2000)
+    big = pd.DataFrame({c: np.arange(2000.0) for c in "abcd"}, index=index)
+    store["k"] = big
+
+    def files():
+        return {(f, os.path.getsize(os.path.join(d, f))) for d, _, names in os.walk(tmp_path / "store") for f in names if f.endswith(".parquet") and "catalog" not in d}
+
+    before = files()
+    store["k"] = pd.DataFrame({c: [-1.0, np.nan] for c in "abcd"}, index=index[-2:])
+    after = files()
+    assert before < after
+    assert sum(n for _, n in after - before) < 0.3 * sum(n for _, n in before)
+    got = store.pandas("k")
+    assert got["a"].iloc[-2] == -1
+    assert np.isnan(got["a"].iloc[-1])
+    assert got["a"].iloc[:-2].tolist() == list(range(1998))
+
+
+def test_many_writes_are_put_together(store):
+    index = pd.bdate_range("2020-01-01", periods=60)
+    for i in range(0, 60, 2):
+        store["k"] = pd.DataFrame({"a": [float(i), i + 1.0]}, index=index[i : i + 2])
+    assert len(store.chain("k")) <= 17
+    assert store.pandas("k")["a"].tolist() == list(range(60))
+    assert len(store.versions("k")) < 40
+
+
+def test_ranks_need_no_global_window(spark, capsys):
+    rows = [(f"e{i:04d}", float(i % 3 if i % 2 else 0)) for i in range(3000)]
+    ranked = SortedSet(spark.createDataFrame(rows, "element string, score double")).ranked()
+    got = [(r["score"], r["element"]) for r in ranked.orderBy("rank").collect()]
+    assert got == sorted((s, e) for e, s in rows)
+    ranked.explain("formatted")
+    assert "SinglePartition" not in capsys.readouterr().out
+    assert SortedSet.of(spark).ranked().count() == 0
