@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from typing import Any
 from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,16 @@ VALUES = "col string, row string, ordinal long, value double"
 CATALOG = "frame string, col string, row string, col_no int, row_no int, type string, calendar string, start long, stop long, created timestamp, updated timestamp"
 
 
+def literal(text: str) -> str:
+    """A text in SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def quoted(column: str) -> str:
+    """A column's name in SQL."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 @dataclass(frozen=True)
 class Key:
     """frame#col$row; a trailing * on col or row stands for all that begin so."""
@@ -204,7 +214,7 @@ class Store:
             slots = slots.withColumn("_l", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(r).alias("r")) for n, r in labels)))).select("ordinal", F.col("_l.n").alias("_n"), F.col("_l.r").alias("row"))
         else:
             slots = slots.withColumn("row", F.lit("")).withColumn("_n", F.lit(0))
-        wide = self.series(key, start, stop).groupBy("row", "ordinal").agg(*(F.max(F.when(F.col("col") == c, F.col("value"))).alias(f"v{i}") for i, c in enumerate(columns)))
+        wide = self.series(key, start, stop).groupBy("row", "ordinal").agg(*(F.expr(f"max(CASE WHEN `col` = {literal(c)} THEN `value` END) AS v{i}") for i, c in enumerate(columns)))
         made = slots.join(wide, ["row", "ordinal"], "left")
 
         def shown(i: int, c: str):
@@ -256,7 +266,9 @@ class Store:
             raise ValueError("a frame has two columns of one name")
         names = {c: (k.col if k.col is not None and len(columns) == 1 and not k.col.endswith("*") else c) for c in columns}
         row = F.col(labels).cast("string") if labels else F.lit(k.row or "")
-        values = F.explode(F.array(*(F.struct(F.lit(names[c]).alias("col"), F.lit(i).alias("col_no"), F.lit(kinds[c]).alias("type"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(columns))))
+        # as one text: a call for each of thousands of columns takes longer than the write
+        each = (f"named_struct('col', {literal(names[c])}, 'col_no', {i}, 'type', '{kinds[c]}', 'value', CAST({quoted(c)} AS DOUBLE))" for i, c in enumerate(columns))
+        values = F.expr(f"explode(array({', '.join(each)}))")
         at = calendar.ordinal_column(F.col(dates).cast("date"))
         long = wide.select(at.alias("ordinal"), row.alias("row"), order.alias("_o"), values.alias("s")).select("ordinal", "row", "_o", "s.*")
         long = long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
@@ -297,7 +309,8 @@ class Store:
         self.remove(here)
         old = {(m.col, m.row): m for m in self.get_metadata(frame)}
         # of two rows for a slot, the later one; read for the catalog and for the write
-        long = long.withColumn("_r", F.row_number().over(Window.partitionBy("col", "row", "ordinal").orderBy(F.desc("_o")))).where("_r = 1").persist()
+        last = F.max(F.struct("_o", "value", "col_no", "type")).alias("s")
+        long = long.groupBy("col", "row", "ordinal").agg(last).select("col", "row", "ordinal", "s.*").persist()
         try:
             self.put(frame, long, calendar, versions, old, here)
         finally:
@@ -390,8 +403,7 @@ class StoredFrame:
         wanted = [self.found[c] for c in columns]
         names = sorted({m.col for m in wanted})
         rows = self.store.series(self.key, start, stop).where(F.col("col").isin(names))
-        made = rows.groupBy("ordinal").agg(*(F.max(F.when((F.col("col") == m.col) & (F.col("row") == m.row), F.col("value"))).alias(f"v{c}") for c, m in zip(columns, wanted, strict=True)))
-        return made
+        return rows.groupBy("ordinal").agg(*(F.expr(f"max(CASE WHEN `col` = {literal(m.col)} AND `row` = {literal(m.row)} THEN `value` END) AS v{c}") for c, m in zip(columns, wanted, strict=True)))
 
     def entities(self, keys: tuple[str, ...]) -> DataFrame:
         raise ValueError("a stored frame has no keys")

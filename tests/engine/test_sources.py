@@ -293,3 +293,12 @@ def test_ranks_need_no_global_window(spark, capsys):
     ranked.explain("formatted")
     assert "SinglePartition" not in capsys.readouterr().out
     assert SortedSet.of(spark).ranked().count() == 0
+
+
+def test_names_of_any_kind(store):
+    index = pd.bdate_range("2020-01-01", periods=5)
+    odd = ["it's", "a`b", 'say "x"', "back\\slash", "a.b"]
+    store["k"] = pd.DataFrame({c: [float(i)] * 5 for i, c in enumerate(odd)}, index=index)
+    assert store.columns("k") == odd
+    assert [store.pandas("k")[c].iloc[0] for c in odd] == [0, 1, 2, 3, 4]
+    assert cs.load("k", store).pandas["2020-01-01":"2020-01-03"].iloc[0].tolist() == [0, 1, 2, 3, 4]
