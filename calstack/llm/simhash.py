@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calstack.llm.common import small_batches, stored
+from calstack.llm.common import batches_of, small_batches, stored
 
 SEED = 42
 MASKS = 3
@@ -32,6 +33,8 @@ MASKS = 3
 #: there are shuffle partitions, and otherwise at most so many.
 FEW_ROWS, SHARD_ROWS = 20_000, 1_000_000
 LEAF = 48
+#: Edges that a task turns into stars at once.
+CHUNK_EDGES = 65_536
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -217,12 +220,54 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the same nodes: each node with the smallest that it reaches,
+    itself left out. A round hangs every root on a smaller one next to it, if there is
+    one, so that at least half of those that can go do."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v, root = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while True:
+        least, new = np.minimum(root[u], root[v]), root.copy()
+        np.minimum.at(new, root[u], least)
+        np.minimum.at(new, root[v], least)
+        while not np.array_equal(new, up := new[new]):
+            new = up
+        if np.array_equal(new, root):
+            hangs = root != np.arange(len(nodes))
+            return nodes[hangs], nodes[root[hangs]]
+        root = new
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """`edges` (a, b) with every CHUNK_EDGES or so of a partition turned into stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                rows += batch.num_rows
+            if rows >= CHUNK_EDGES or (batch is None and rows):
+                made = stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, rows = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], ["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): every node of `edges` (a, b) with the smallest node that it is
-    connected to. Alternating star contraction: each round hangs a node's larger,
-    then its smaller neighbours on the smallest; it ends when nothing changes."""
-    now = stored(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "edges")
-    state = None
+    """(node, root): every node of `edges` (a, b; no nulls) with the smallest node that
+    it is connected to. Tasks turn bounded chunks of edges into stars first. Then
+    alternating star contraction: each round hangs a node's larger, then its smaller
+    neighbours on the smallest; it ends when nothing changes."""
+    spark = edges.sparkSession
+    with batches_of(spark, CHUNK_EDGES):
+        now = stored(contracted(edges.where("a <> b")).distinct(), "edges")
+
+    def seen_in(now: DataFrame):
+        return now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+
+    state = seen_in(now)
     for _ in range(rounds):
         both = now.union(now.selectExpr("b AS a", "a AS b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
@@ -231,7 +276,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.selectExpr("b AS a", "m AS b").union(joined.selectExpr("a", "m AS b"))
         now = stored(small.where("a <> b").distinct(), "edges", now)
-        seen = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        seen = seen_in(now)
         if seen == state:
             break
         state = seen

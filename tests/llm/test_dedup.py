@@ -9,7 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from calstack.llm import decontaminate, simhash, substrings
+from calstack.llm import decontaminate, jaccard, simhash, substrings
+from calstack.llm.common import stored
 
 SCHEMA = "doc_id long, text string, n_words string, row string, id string"
 
@@ -218,6 +219,48 @@ def test_near_duplicate_stage_links_all_of_similarity(spark, seed):
     assert sorted(r.doc_id for r in kept) == sorted(set(roots))
 
 
+@pytest.mark.parametrize(("chunk", "n_edges"), [(1, 60), (7, 200), (65_536, 200), (65_536, 0)])
+def test_components_of_random_edges(spark, monkeypatch, chunk, n_edges):
+    rng = random.Random(n_edges + chunk)
+    edges = [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(n_edges)] + [(200 + i, 201 + i) for i in range(50 if n_edges else 0)]
+    up = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    monkeypatch.setattr(simhash, "CHUNK_EDGES", chunk)
+    rows = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in rows) == sorted((x, find(x)) for x in up if find(x) != x)
+
+
+def test_neighbours_connect_a_large_group_by_few_pairs(spark):
+    rng = random.Random(4)
+    first, n = [f"w{i}" for i in range(150)], 600
+    texts = []
+    for _ in range(n):
+        copy = list(first)
+        for at in rng.sample(range(150), 2):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    docs = frame(spark, texts).selectExpr("doc_id AS row", "text")
+    lists = stored(jaccard.postings(jaccard.shingled(docs)), "postings")
+    rows = lists.count()
+    near = jaccard.neighbours(lists)
+    assert near.count() <= jaccard.NEIGHBOURS * rows
+    found = [jaccard.shingles(t) for t in texts]
+    node = {jaccard.node_of(s): s for s in found}
+    links = [(r.a, r.b) for r in near.collect() if 9 * len(np.intersect1d(node[r.a], node[r.b])) >= 4 * (len(node[r.a]) + len(node[r.b]))]
+    roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    left = jaccard.others(lists, spark.createDataFrame(list(roots.items()), "node long, root long")).count()
+    assert left < n * n / 40
+
+
 def test_long_words_are_told_apart(spark):
     def word(i, j):
         letters = ["a"] * 5000
