@@ -72,6 +72,16 @@ def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Dat
     return made
 
 
+@contextmanager
+def only_last_kept(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables stored inside but the last, which holds what they were for."""
+    first = len(_WRITTEN)
+    yield
+    for path in _WRITTEN[first:-1]:
+        remove(spark, path)
+    del _WRITTEN[first:-1]
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of stages that have ended."""
     gc.collect()
