@@ -261,6 +261,68 @@ def test_neighbours_connect_a_large_group_by_few_pairs(spark):
     assert left < n * n / 40
 
 
+@pytest.mark.parametrize("n", [1, 64, 65, 900])
+def test_tree_search_finds_all_within_the_radius(n):
+    rng = np.random.default_rng(n)
+    centres = rng.integers(0, 1 << 63, (9, jaccard.FP_WORDS), np.int64).view(np.uint64)
+    bits = np.unpackbits(centres.view(np.uint8), axis=1)[rng.integers(0, 9, n)] ^ (rng.random((n, 64 * jaccard.FP_WORDS)) < rng.choice((0, 0.1, 0.2, 0.5), (n, 1)))
+    fps = np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64)
+    queries = np.arange(0, n, 3)
+    found = [(q, p) for i, j in jaccard.tree_search(fps, queries) for q, p in zip(i.tolist(), j.tolist(), strict=True)]
+    ints = [int.from_bytes(f.tobytes(), "little") for f in fps]
+    assert len(found) == len(set(found))
+    assert set(found) == {(q, p) for q in queries.tolist() for p in range(n) if (ints[q] ^ ints[p]).bit_count() <= jaccard.RADIUS}
+
+
+def test_fingerprints_of_similar_sets_are_within_the_radius():
+    rng = np.random.default_rng(5)
+    for n in (4, 8, 40, 400):
+        apart = []
+        for _ in range(500):
+            a = rng.integers(-(1 << 63), 1 << 63, n + n // 4, np.int64)
+            apart.append(int(jaccard.apart(jaccard.fingerprint(np.unique(a)), jaccard.fingerprint(np.unique(a[:n])))))
+        assert np.mean(apart) + 5 * np.std(apart) < jaccard.RADIUS
+    assert jaccard.apart(jaccard.fingerprint(a), jaccard.fingerprint(np.unique(~a))) > jaccard.RADIUS
+
+
+def test_a_large_group_of_near_copies_makes_few_rows(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    first, n = [f"w{i}" for i in range(150)], 400
+    texts = []
+    for i in range(n):
+        copy = list(first)
+        for at in rng.sample(range(150), 2 if i % 10 else 5):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    rows = defaultdict(int)
+
+    def counted(df, name, instead_of=None):
+        made = stored(df, name, instead_of)
+        rows[name] += made.count()
+        return made
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    kept = corpus_pipeline.near_duplicate_stage(spark, frame(spark, texts), "").collect()
+    roots, _ = brute_jaccard(texts)
+    assert 1 < len(set(roots)) < n / 2
+    assert sorted(r.doc_id for r in kept) == sorted(set(roots))
+    assert rows["wanted"] == rows["sets"] <= n
+    assert rows["forest"] + rows["links"] < 12 * n
+
+
+def test_pairs_of_whole_sets_and_guests():
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(1 << 40), 1 << 40, 60)
+    sets = [np.unique(rng.choice(base, k)) for k in (0, 0, 5, 200, 220, 240, 260, 300)]
+    near = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b))}
+    i, j = jaccard.linked(sets)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(i, j) for i, j in near if i < j}
+    i, j = jaccard.linked(sets[:5], sets[5:])
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(i - 5, j) for i, j in near if i >= 5 and j < 5}
+
+
 def test_long_words_are_told_apart(spark):
     def word(i, j):
         letters = ["a"] * 5000
