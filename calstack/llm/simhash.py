@@ -33,8 +33,9 @@ MASKS = 3
 #: there are shuffle partitions, and otherwise at most so many.
 FEW_ROWS, SHARD_ROWS = 20_000, 1_000_000
 LEAF = 48
-#: Edges that a task turns into stars at once.
-CHUNK_EDGES = 65_536
+#: Edges that a task turns into stars at once, at first and when it gathers those of
+#: several tasks.
+CHUNK_EDGES, LAST_EDGES = 65_536, 1 << 19
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -238,8 +239,8 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """`edges` (a, b) with every CHUNK_EDGES or so of a partition turned into stars."""
+def contracted(edges: DataFrame, chunk: int) -> DataFrame:
+    """`edges` (a, b) with every `chunk` or so of a partition turned into stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -247,7 +248,7 @@ def contracted(edges: DataFrame) -> DataFrame:
             if batch is not None:
                 held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
                 rows += batch.num_rows
-            if rows >= CHUNK_EDGES or (batch is None and rows):
+            if rows >= chunk or (batch is None and rows):
                 made = stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
                 held, rows = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], ["a", "b"])
@@ -257,12 +258,22 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): every node of `edges` (a, b; no nulls) with the smallest node that
-    it is connected to. Tasks turn bounded chunks of edges into stars first. Then
-    alternating star contraction: each round hangs a node's larger, then its smaller
-    neighbours on the smallest; it ends when nothing changes."""
+    it is connected to. Tasks turn bounded chunks of edges into stars first, then larger
+    chunks of what several of them have left, as long as that halves the edges. If one
+    chunk is left, its stars are the result. Otherwise alternating star contraction: each
+    round hangs a node's larger, then its smaller neighbours on the smallest; it ends
+    when nothing changes. A round is several jobs, which the driver keeps account of."""
     spark = edges.sparkSession
     with batches_of(spark, CHUNK_EDGES):
-        now = stored(contracted(edges.where("a <> b")).distinct(), "edges")
+        now = stored(contracted(edges.where("a <> b"), CHUNK_EDGES), "edges")
+        left, before = now.count(), math.inf
+        while 2 * left <= before:
+            tasks = max(1, math.ceil(left / LAST_EDGES))
+            now = stored(contracted(now.coalesce(tasks), LAST_EDGES + 1), "edges", now)
+            if tasks == 1:
+                return now.selectExpr("a AS node", "b AS root")
+            left, before = now.count(), left
+        now = stored(now.distinct(), "edges", now)
 
     def seen_in(now: DataFrame):
         return now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()

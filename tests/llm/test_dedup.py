@@ -239,6 +239,31 @@ def test_components_of_random_edges(spark, monkeypatch, chunk, n_edges):
     assert sorted((r.node, r.root) for r in rows) == sorted((x, find(x)) for x in up if find(x) != x)
 
 
+@pytest.mark.parametrize(("last", "tables"), [(1 << 19, 2), (40, None), (8, None)])
+def test_few_edges_end_without_rounds(spark, monkeypatch, last, tables):
+    rng = random.Random(last)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(400 + i, 401 + i) for i in range(80)]
+    up = simhash.Forest(500)
+    for a, b in edges:
+        if up.find(a) != up.find(b):
+            up.join(a, b)
+    written = []
+
+    def counted(df, name, instead_of=None):
+        written.append(name)
+        return stored(df, name, instead_of)
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    monkeypatch.setattr(simhash, "CHUNK_EDGES", 16)
+    monkeypatch.setattr(simhash, "LAST_EDGES", last)
+    rows = simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()
+    least = {}
+    for x in range(500):
+        least.setdefault(up.find(x), x)
+    assert sorted((r.node, r.root) for r in rows) == [(x, least[up.find(x)]) for x in range(500) if least[up.find(x)] != x]
+    assert tables is None or len(written) == tables
+
+
 def test_neighbours_connect_a_large_group_by_few_pairs(spark):
     rng = random.Random(4)
     first, n = [f"w{i}" for i in range(150)], 600
