@@ -14,10 +14,13 @@ while one of these places agrees, the words themselves being compared, and the
 longest one counts. The windows that begin in a factor and end behind it, at the
 factor's boundary, are looked up in turn. Factors of at least `window` words are the
 duplicate spans. Anchors with more than BLOCK_PHRASES distinct phrases are not kept
-together in one block: there all windows are counted by hash, which finds the same.
+together in one block. Their distinct phrases are cut again, at an anchor of more words
+(`finer`), into pieces. A piece that occurs twice is a factor as a whole, one whose anchor
+no other piece has holds no factor, and of each distinct one of the others the windows are
+counted by hash: this finds the same, as equal windows have equal finer anchors too.
 
-Whole phrases are named by 128 bits of hash (anchor and words), counted windows by
-128 bits. Null text: no words. Fewer words than a window: nothing is removed.
+Whole phrases and pieces are named by 128 bits of hash (anchor and words), counted
+windows by 128 bits. Null text: no words. Fewer words than a window: nothing is removed.
 Repeated rows are duplicates of each other. Null ids are kept. Words may be of any
 length. Only the id and text columns are read.
 """
@@ -38,7 +41,7 @@ from calstack.llm.wordhash import Sequences, chunks, hashed
 #: Distinct phrases of one anchor that are parsed in a block, and phrases of a block.
 BLOCK_PHRASES, BLOCK_ROWS = 256, 40_000
 #: What a document is told of a phrase: it is a factor as a whole, it stands in a block
-#: for others or to be parsed itself, or the same by counted windows.
+#: for others or to be parsed itself, or the same by pieces and counted windows.
 WHOLE, REFERENCE, PENDING, COUNTED = 0, 1, 2, 4
 #: A phrase of a document as one long: first window times 64, plus the number of windows.
 PACK = 64
@@ -87,6 +90,31 @@ def reference(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "a long, phrase long, row long, at long")
 
 
+def finer(window: int, anchor: int) -> int:
+    """Words of the anchor at which phrases of too frequent an anchor are cut again: with
+    fewer, more pieces share one and more windows are counted; with more, there are more
+    pieces."""
+    return anchor + 3 * (window - anchor) // 4
+
+
+def cut_again(hashes: np.ndarray, hot: list[tuple[int, int, bool]], window: int, anchor: int) -> list[dict]:
+    """The pieces of phrases (first window, number of windows, whether to be parsed) of a
+    text: consecutive windows with one anchor, in `at` as phrases (-1 if not to be parsed)."""
+    one, two = (Sequences(hashes, k) for k in (0, 1))
+    out = []
+    for begin, count, pending in hot:
+        grams = one.runs(np.arange(begin, begin + count + window - anchor), anchor)
+        place = np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1).argmin(axis=1) + np.arange(count)
+        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        number = np.diff(np.append(first, count))
+        at = (begin + first) * PACK + number if pending else np.full(len(first), -1)
+        w1, w2 = (k.runs(np.arange(begin, begin + count), window).view(np.int64).tolist() for k in (one, two))
+        a, phrase = grams[place[first]].view(np.int64), two.runs(begin + first, number + window - 1).view(np.int64)
+        for x, y, z, i, n in zip(a.tolist(), phrase.tolist(), at.tolist(), first.tolist(), number.tolist(), strict=True):
+            out.append({"a": x, "phrase": y, "at": z, "windows": [{"w1": u, "w2": v} for u, v in zip(w1[i : i + n], w2[i : i + n], strict=True)]})
+    return out
+
+
 def covered(n: int, starts: list[int], stops: list[int]) -> np.ndarray:
     """Which of n words lie in one of the spans."""
     depth = np.zeros(n + 1, np.int64)
@@ -112,12 +140,13 @@ def spans(starts: np.ndarray) -> list[list[int]]:
 RESULT = "row long, id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<array<int>>"
 
 
-def parse(joined: DataFrame, kind: str, window: int) -> DataFrame:
+def parse(joined: DataFrame, kind: str, window: int, anchor: int) -> DataFrame:
     """Marks the whole factors of each document (row, id, text, factors); a document
     with phrases to be parsed keeps its text. Lists the words of phrases for the
-    blocks, and the windows of those whose windows are counted."""
-    schema = RESULT.format(kind=kind) + ", text string, known array<long>, phrases array<struct<a:long,at:long,words:binary>>, windows array<struct<w1:long,w2:long,at:long>>"
-    windows_type = pa.struct([("w1", pa.int64()), ("w2", pa.int64()), ("at", pa.int64())])
+    blocks, and the pieces of those whose windows are counted."""
+    schema = RESULT.format(kind=kind) + ", text string, known array<long>, phrases array<struct<a:long,at:long,words:binary>>, pieces array<struct<a:long,phrase:long,at:long,windows:array<struct<w1:long,w2:long>>>>"
+    windows_type = pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())]))
+    pieces_type = pa.struct([("a", pa.int64()), ("phrase", pa.int64()), ("at", pa.int64()), ("windows", windows_type)])
     phrases_type = pa.struct([("a", pa.int64()), ("at", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,24 +161,18 @@ def parse(joined: DataFrame, kind: str, window: int) -> DataFrame:
                     if told_kind == WHOLE:
                         whole.append(at)
                     elif told_kind & COUNTED:
-                        hot.append((begin, count, told_kind & PENDING))
+                        hot.append((begin, count, bool(told_kind & PENDING)))
                     else:
                         sent.append({"a": a, "at": at if told_kind == PENDING else -1, "words": b" ".join(words[begin : begin + count + window - 1])})
-                counted: list[dict] = []
-                if hot:
-                    hashes, _ = hashed([text])
-                    i = np.concatenate([np.arange(b, b + c) for b, c, _ in hot])
-                    pending = np.repeat([p for _, _, p in hot], [c for _, c, _ in hot])
-                    one, two = (Sequences(hashes, k).runs(i, window).view(np.int64).tolist() for k in (0, 1))
-                    counted = [{"w1": x, "w2": y, "at": z} for x, y, z in zip(one, two, np.where(pending, i * PACK + 1, -1).tolist(), strict=True)]
+                pieces = cut_again(hashed([text])[0], hot, window, finer(window, anchor)) if hot else []
                 known = np.array(whole, np.int64)
                 drop = covered(len(words), known // PACK, known // PACK + known % PACK + window - 1)
                 done = (None, None) if wait else kept(text, drop)
-                row = (len(words), *done, None if wait else spans(drop), text.decode("utf-8", "surrogatepass") if wait else None, whole if wait else None, sent, counted)
+                row = (len(words), *done, None if wait else spans(drop), text.decode("utf-8", "surrogatepass") if wait else None, whole if wait else None, sent, pieces)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())), pa.string(), pa.list_(pa.int64()), pa.list_(phrases_type), pa.list_(windows_type)]
-            names = ["row", "id", "n_words", "n_removed", "kept_sha256", "spans", "text", "known", "phrases", "windows"]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())), pa.string(), pa.list_(pa.int64()), pa.list_(phrases_type), pa.list_(pieces_type)]
+            names = ["row", "id", "n_words", "n_removed", "kept_sha256", "spans", "text", "known", "phrases", "pieces"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names)
 
     return joined.mapInArrow(run, schema)
@@ -204,6 +227,19 @@ def in_blocks(phrases_: DataFrame, window: int) -> DataFrame:
     return phrases_.groupBy(block.alias("block")).applyInArrow(search, "row long, at long")
 
 
+def in_pieces(pieces: DataFrame) -> DataFrame:
+    """(row, at): the factors of pieces (row, a, phrase, at, windows); at as in phrases."""
+    # stored, as in duplicate_passages
+    named = pieces.groupBy("a", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("first"), F.first("windows").alias("windows"))
+    named = stored(named, "pieces")
+    several = stored(named.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a"), "several_pieces")
+    whole = pieces.where("at >= 0").join(named.where("n > 1").select("a", "phrase"), ["a", "phrase"]).select("row", "at")
+    listed = named.join(several, "a").select(F.col("first.row").alias("row"), F.when(F.col("n") == 1, F.col("first.at")).otherwise(-1).alias("at"), F.posexplode("windows").alias("i", "w"))
+    windows = stored(listed.selectExpr("row", "w.w1", "w.w2", f"if(at < 0, -1, (at div {PACK} + i) * {PACK} + 1) AS at"), "windows")
+    again = stored(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "again")
+    return whole.union(windows.where("at >= 0").join(again, ["w1", "w2"]).select("row", "at"))
+
+
 def finish(waiting: DataFrame, kind: str, window: int) -> DataFrame:
     """The documents that waited for the factors of their phrases (row, id, n_words, text,
     known, hits)."""
@@ -242,11 +278,9 @@ def duplicate_passages(docs: DataFrame, window: int = 35, anchor: int = 8, id_co
     told = F.expr(f"first.at * 8 + if(n > 1, {REFERENCE}, {PENDING}) + if(m > {BLOCK_PHRASES}, {COUNTED}, 0)")
     parts = distinct.join(several, "a").select("first.row", told.alias("at"), "a")
     per_doc = whole.union(parts).groupBy("row").agg(F.collect_list(F.struct("at", "a")).alias("factors"))
-    parsed = stored(parse(rows.join(per_doc, "row", "left"), kind, window), "parsed")
+    parsed = stored(parse(rows.join(per_doc, "row", "left"), kind, window, anchor), "parsed")
     blocked = stored(in_blocks(parsed.select("row", F.explode("phrases").alias("p")).select("row", "p.*"), window), "factors")
-    windows = parsed.select("row", F.explode("windows").alias("w")).select("row", "w.*")
-    again = stored(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "windows")
-    counted = windows.where("at >= 0").join(again, ["w1", "w2"]).select("row", "at")
+    counted = in_pieces(parsed.select("row", F.explode("pieces").alias("p")).select("row", "p.*"))
     hits = blocked.union(counted).groupBy("row").agg(F.collect_list("at").alias("hits"))
     waiting = parsed.where("text IS NOT NULL").select("row", "id", "n_words", "text", "known").join(hits, "row", "left")
     done = parsed.where("text IS NULL").select("row", "id", "n_words", "n_removed", "kept_sha256", "spans")

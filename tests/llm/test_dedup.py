@@ -389,6 +389,35 @@ def test_hot_anchors_are_counted(spark, monkeypatch):
     assert [(r.n_words, r.n_removed, r.kept_sha256) for r in rows] == brute_passages(texts, 35)
 
 
+@pytest.mark.parametrize(("window", "anchor", "length"), [(35, 8, 12), (35, 8, 40), (12, 5, 8), (5, 5, 5)])
+def test_a_passage_in_many_texts_lists_few_windows(spark, monkeypatch, window, anchor, length):
+    rng = random.Random(length)
+    common = [f"c{i}" for i in range(length)]
+    texts = []
+    for i in range(120):
+        own = [[f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(2)]
+        if i % 5 == 0:  # shares a part of the surroundings with another text
+            own[0][20:] = [f"s{i // 10}_{k}" for k in range(20)]
+        texts.append(" ".join([*own[0], *common, *own[1]]))
+    texts += ["p q r " * 60, *texts[:6]]
+    listed = {}
+
+    def counted(df, name, instead_of=None):
+        made = stored(df, name, instead_of)
+        if name == "windows":
+            listed[name] = made.count()
+        if name == "parsed":
+            listed["pieces"] = made.select(F.sum(F.size("pieces"))).first()[0]
+        return made
+
+    monkeypatch.setattr(substrings, "stored", counted)
+    monkeypatch.setattr(substrings, "BLOCK_PHRASES", 1)
+    rows = substrings.duplicate_passages(frame(spark, texts), window, anchor).orderBy("id").collect()
+    assert [(r.n_words, r.n_removed, r.kept_sha256) for r in rows] == brute_passages(texts, window)
+    if length == 12:
+        assert 120 < listed["pieces"] < 120 * 28 / 3 and listed["windows"] < 120 * 28 / 3
+
+
 def test_rows_that_move_are_stored_first(spark):
     texts = some_texts(2)
     mixed = frame(spark, texts).repartition(3).orderBy("text").repartition(5, "text")
